@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("neardup",)
+_MODULES = ("neardup", "toxicity")
 
 
 def _each(what: str) -> dict:
