@@ -106,17 +106,15 @@ def matches(h: np.ndarray, words: int, weight: np.ndarray, items: Items, thresho
         blocks = found.view(np.uint8).reshape(-1, 8)
         near = index[0][blocks[:, 0]]
         for b in range(1, 8):
-            near = near | index[b][blocks[:, b]]
-        for k, j in zip(*np.nonzero(near)):
-            item = int(own[j])
-            distance = int(found[k] ^ items.print[item]).bit_count()
-            if distance > radius:
-                continue
-            s = int(start[k])
+            near |= index[b][blocks[:, b]]
+        distance = np.bitwise_count(found[:, None] ^ items.print[own][None])
+        enough = (rolling[start + size] - rolling[start])[:, None] >= threshold * items.total[own][None] - 1e-9
+        for k, j in zip(*np.nonzero(near & (distance <= radius) & enough)):
+            item, s = int(own[j]), int(start[k])
             both = np.intersect1d(h[s : s + size], items.sets[item])
             score = float(items.weight[np.searchsorted(items.known, both)].sum() / items.total[item])
             if score >= threshold - 1e-9 and (item not in best or score > best[item][1] + 1e-12):
-                best[item] = (item, score, distance, s, size)
+                best[item] = (item, score, int(distance[k, j]), s, size)
     return list(best.values())
 
 
@@ -188,7 +186,14 @@ def _windows(docs: DataFrame, shared, fields: list[T.StructField], threshold: fl
             weight = np.zeros(len(h))
             weight[at] = items.weight[which]
             rolling = np.concatenate([[0], np.cumsum(weight)])
-            for i in np.flatnonzero(rolling[bounds[1:]] - rolling[bounds[:-1]] >= least):
+            # the widest window bounds what any window inside it holds
+            wide = min(len(h), int(items.length.max()))
+            heavy = np.flatnonzero(rolling[wide:] - rolling[: len(h) - wide + 1] >= least)
+            reach = np.zeros(len(h) + 1, np.int64)
+            np.add.at(reach, heavy, 1)
+            np.add.at(reach, np.minimum(heavy + wide, len(h)), -1)
+            inside = np.concatenate([[0], np.cumsum(np.cumsum(reach[:-1]) > 0)])
+            for i in np.flatnonzero((inside[bounds[1:]] > inside[bounds[:-1]]) & (rolling[bounds[1:]] - rolling[bounds[:-1]] >= least)):
                 a, b = bounds[i], bounds[i + 1]
                 count = int(w.bounds[i + 1] - w.bounds[i])
                 for item, score, distance, first, size in matches(h[a:b], count, weight[a:b], items, threshold, radius) if b > a else ():
