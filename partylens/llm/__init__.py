@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("neardup", "toxicity", "linededup", "decontam")
+_MODULES = ("neardup", "toxicity", "linededup", "decontam", "packing")
 
 
 def _each(what: str) -> dict:
