@@ -53,10 +53,27 @@ class Types:
     gram_from: np.ndarray
 
 
-def types_of(c: textvec.Codes, w: textvec.Words) -> Types:
-    distinct, first, of_word = np.unique(w.hash, return_index=True, return_inverse=True)
-    bucket, gram, gram_from = _grams(c, distinct, w.start[first], w.end[first])
-    return Types(of_word, bucket, gram, gram_from)
+def types_of(texts: list[str]) -> tuple[Types, np.ndarray]:
+    """The word types of texts, taken run by run, and the bounds of each text's words."""
+    hashes, buckets, grams, counts, words, lengths = np.zeros(0, np.uint64), [], [], [], [], []
+    order = np.zeros(0, np.int64)
+    for a, b in runs(texts):
+        c = textvec.codes(texts[a:b])
+        w = textvec.words(c)
+        distinct, first, of_word = np.unique(w.hash, return_index=True, return_inverse=True)
+        new = np.flatnonzero(~np.isin(distinct, hashes))
+        bucket, gram, gram_from = _grams(c, distinct[new], w.start[first[new]], w.end[first[new]])
+        buckets.append(bucket)
+        grams.append(gram.astype(np.int32))
+        counts.append(np.diff(gram_from))
+        merged, number = np.concatenate([hashes, distinct[new]]), np.concatenate([order, len(order) + np.arange(len(new))])
+        by_hash = np.argsort(merged, kind="stable")
+        hashes, order = merged[by_hash], number[by_hash]
+        words.append(order[np.searchsorted(hashes, distinct)][of_word].astype(np.int32))
+        lengths.append(np.diff(w.bounds))
+    count = np.concatenate(counts)
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    return Types(np.concatenate(words), np.concatenate(buckets), np.concatenate(grams), np.concatenate([[0], np.cumsum(count)])), bounds
 
 
 def _grams(c: textvec.Codes, distinct: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple:
@@ -122,10 +139,14 @@ def windows(bounds: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.
     return first, np.minimum(size, bounds[1:][text] - first), text
 
 
-def inputs(t: Types, p: dict) -> np.ndarray:
-    count = np.diff(t.gram_from)
-    chars = np.add.reduceat(p["grams"][t.gram], t.gram_from[:-1], axis=0) / count[:, None] if len(count) else np.zeros((0, DC), np.float32)
-    return np.concatenate([p["words"][t.bucket], chars], axis=1).astype(np.float32)
+def inputs(t: Types, p: dict, block: int = 20_000) -> np.ndarray:
+    out = np.empty((len(t.bucket), DW + DC), np.float32)
+    for i in range(0, len(out), block):
+        edge = t.gram_from[i : i + block + 1]
+        sums = np.add.reduceat(p["grams"][t.gram[edge[0] : edge[-1]]], edge[:-1] - edge[0], axis=0)
+        out[i : i + block, :DW] = p["words"][t.bucket[i : i + block]]
+        out[i : i + block, DW:] = sums / np.diff(edge)[:, None]
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -242,23 +263,24 @@ def _gather(t: Types, used: np.ndarray) -> Types:
     return Types(np.zeros(0, np.int64), t.bucket[used], t.gram[at], start)
 
 
-def _associations(t: Types, doc_of_word: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _associations(t: Types, bounds: np.ndarray, y: np.ndarray, block: int = 100) -> np.ndarray:
     """How strongly each type goes with the label: the largest smoothed log odds of its word and its n-grams."""
-
-    def odds(feature: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
-        seen = np.unique(feature * len(y) + doc)
-        label = y[seen % len(y)]
-        of = seen // len(y)
-        pos, neg = (np.bincount(of[label == v], minlength=size) for v in (1, 0))
-        return np.log((pos + 0.5) / (neg + 0.5)) - np.log((y.sum() + 1) / ((1 - y).sum() + 1))
-
-    pair = np.unique(t.of_word * len(y) + doc_of_word)
-    kind, doc = pair // len(y), pair % len(y)
-    length = np.diff(t.gram_from)[kind]
-    start = np.cumsum(length) - length
-    gram = t.gram[np.repeat(t.gram_from[kind] - start, length) + np.arange(length.sum())]
-    of_gram = odds(gram, np.repeat(doc, length), GRAMS)
-    return np.maximum(odds(kind, doc, len(t.bucket)), np.maximum.reduceat(of_gram[t.gram], t.gram_from[:-1]))
+    word, gram = np.zeros((2, len(t.bucket))), np.zeros((2, GRAMS))
+    for i in range(0, len(y), block):
+        part = y[i : i + block]
+        edge = bounds[i : i + len(part) + 1]
+        doc = np.repeat(np.arange(len(part)), np.diff(edge))
+        pair = np.unique(t.of_word[edge[0] : edge[-1]] * np.int64(block) + doc)
+        kind, doc = pair // block, pair % block
+        length = np.diff(t.gram_from)[kind]
+        at = np.repeat(t.gram_from[kind] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        seen = np.unique(t.gram[at] * np.int64(block) + np.repeat(doc, length))
+        for v in (0, 1):
+            word[v] += np.bincount(kind[part[doc] == v], minlength=len(t.bucket))
+            gram[v] += np.bincount(seen[part[seen % block] == v] // block, minlength=GRAMS)
+    prior = np.log((y.sum() + 1) / ((1 - y).sum() + 1))
+    of_word, of_gram = (np.log((n[1] + 0.5) / (n[0] + 0.5)) - prior for n in (word, gram))
+    return np.maximum(of_word, np.maximum.reduceat(of_gram[t.gram], t.gram_from[:-1]))
 
 
 def train(texts: list[str], labels: list[int], window: int = WINDOW, stride: int = STRIDE, steps: int = STEPS, seed: int = 7) -> Model | None:
@@ -268,17 +290,13 @@ def train(texts: list[str], labels: list[int], window: int = WINDOW, stride: int
     if not 0 < y[:cut].sum() < cut:
         return None
     rng = np.random.default_rng(seed)
-    c = textvec.codes(texts)
-    w = textvec.words(c)
-    t = types_of(c, w)
-    seen = w.bounds[cut]
-    doc_of_word = np.repeat(np.arange(len(y)), np.diff(w.bounds))
-    part = Types(t.of_word[:seen], t.bucket, t.gram, t.gram_from)
-    strength = _associations(part, doc_of_word[:seen], y[:cut])
-    first, size, doc = windows(w.bounds, window, stride)
-    index = first[:, None] + np.arange(window)
+    t, bounds = types_of(texts)
+    if not len(t.of_word):
+        return None
+    strength = _associations(t, bounds, y[:cut])
+    first, size, doc = windows(bounds, window, stride)
     mask = np.arange(window) < size[:, None]
-    kinds = np.where(mask, t.of_word[np.minimum(index, len(t.of_word) - 1)], len(t.bucket))
+    kinds = np.where(mask, t.of_word[np.minimum(first[:, None] + np.arange(window), len(t.of_word) - 1)], len(t.bucket)).astype(np.int32)
     mask = mask.astype(np.float32)
     evidence = np.append(strength, -99)[kinds].max(1) + rng.random(len(doc)) * 1e-6
     chosen = []
