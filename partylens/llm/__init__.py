@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("neardup", "toxicity", "linededup", "decontam", "packing", "sharding", "langid", "pii", "licenses")
+_MODULES = ("neardup", "toxicity", "linededup", "decontam", "packing", "sharding", "langid", "pii", "licenses", "media")
 
 
 def _each(what: str) -> dict:
