@@ -40,7 +40,7 @@ def clean(x: Column) -> Column:
 
 
 def split_multi(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, "[;|]"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(x, "[;|]"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def party_type(x: Column) -> Column:
