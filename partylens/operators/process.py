@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CASE = Window.partitionBy("case_id").orderBy("ts", "event_id")
-WHOLE = Window.partitionBy("case_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def in_case():
+    return Window.partitionBy("case_id").orderBy("ts", "event_id")
 
 
 def _seconds(a, b):
@@ -15,7 +16,7 @@ def _seconds(a, b):
 
 def with_next(log: DataFrame) -> DataFrame:
     """Each event with the one that follows in its case: one window, no self-join."""
-    return log.withColumn("next_activity", F.lead("activity").over(CASE)).withColumn("next_ts", F.lead("ts").over(CASE))
+    return log.withColumn("next_activity", F.lead("activity").over(in_case())).withColumn("next_ts", F.lead("ts").over(in_case()))
 
 
 def dfg_edges(log: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def start_end(log: DataFrame) -> DataFrame:
 
 def rework_edges(log: DataFrame) -> DataFrame:
     """Edges whose target the case has been in before; a self-loop is one."""
-    before = F.collect_set("activity").over(CASE.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.collect_set("activity").over(in_case().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     again = with_next(log).withColumn("seen", before).filter("next_activity is not null and array_contains(seen, next_activity)")
     return again.groupBy(F.col("activity").alias("from_activity"), F.col("next_activity").alias("to_activity")).agg(F.count("*").alias("n"))
 
@@ -96,15 +97,15 @@ def conformance(log: DataFrame, configured: DataFrame) -> DataFrame:
 def sessions(log: DataFrame, gap_seconds: int) -> DataFrame:
     """(case_id, session, begin, end, events): a gap of more than so many seconds begins a session."""
     new = F.coalesce((_seconds("before", "ts") > gap_seconds).cast("int"), F.lit(0))
-    numbered = log.withColumn("before", F.lag("ts").over(CASE)).withColumn("new", new).withColumn("session", F.sum("new").over(CASE.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = log.withColumn("before", F.lag("ts").over(in_case())).withColumn("new", new).withColumn("session", F.sum("new").over(in_case().rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("case_id", "session").agg(F.count("*").alias("events"), F.max("ts").alias("b"), F.min("ts").alias("a")).withColumn("seconds", F.round(_seconds("a", "b"), 3)).drop("a", "b")
 
 
 def collapse(log: DataFrame, rename: dict[str, str], gap_seconds: int) -> DataFrame:
     """Activities under their group's name; runs of one group within the gap become one event."""
     named = log.withColumn("activity", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in rename.items() for x in p]), F.col("activity")), F.col("activity")))
-    same = (F.lag("activity").over(CASE) == F.col("activity")) & (_seconds("before", "ts") <= gap_seconds)
-    return named.withColumn("before", F.lag("ts").over(CASE)).withColumn("again", F.coalesce(same, F.lit(False))).filter("not again").drop("before", "again")
+    same = (F.lag("activity").over(in_case()) == F.col("activity")) & (_seconds("before", "ts") <= gap_seconds)
+    return named.withColumn("before", F.lag("ts").over(in_case())).withColumn("again", F.coalesce(same, F.lit(False))).filter("not again").drop("before", "again")
 
 
 def bursts(log: DataFrame, least: int) -> DataFrame:
