@@ -28,6 +28,7 @@ NOTICES = (
     ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
     ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),

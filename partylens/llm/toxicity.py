@@ -404,6 +404,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = each.filter("y = 1").orderBy("order", "id").limit(half).unionByName(each.filter("y = 0").orderBy("order", "id").limit(max_labelled - half))
     # the sample is bounded by a parameter, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("id", "order", "y").agg(F.min("text").alias("text"))  # a repeated id is one document here
     got = sorted({(r["order"], str(r["id"]), r["text"] or "", r["y"]) for r in rows.collect()})
     return train([g[2] for g in got], [g[3] for g in got], **how) if got else None
 

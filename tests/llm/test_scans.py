@@ -1,0 +1,100 @@
+import pytest
+
+from partylens.llm import licenses as C
+from partylens.llm import media as M
+from partylens.llm import pii as P
+
+
+@pytest.mark.parametrize("text,kinds", [
+    ("write to ann.b+c@mail.example.com.", ["email"]), ("a@b", []), ("@handle and x@ y", []), ("..@x.com", []), ("a.@x.com", []), ("x@y.co.uk,z@w.org", ["email", "email"]), ("l" * 80 + "@x.com", []),
+    ("host 10.0.0.1.", ["ipv4"]), ("v 1.2.3.4.5", []), ("999.1.1.1", []), ("call +1 (988) 555-2485 now", ["phone"]), ("+12", []), ("card 4111 1111 1111 1111", ["card"]), ("n 4111111111111112", ["account"]),
+    ("IBAN DE89370400440532013000", ["account"]), ("ssn 123-45-6789", ["ssn"]), ("000-45-6789", []), ("password=b7db7aa4a5", ["secret"]), ('token = "1beb58b8af68"', ["secret"]), ("the password is", []),
+    ("see https://example.com/a", []), ("http://u:pw@h.com/x", ["url"]), ("", []), ("2024 10 12", []), ("İİ a@b.org", ["email"]),
+])
+def test_kinds(text, kinds):
+    assert [k for *_, k in P.find(text)] == kinds
+
+
+def test_spans_and_redaction():
+    text = "İ mail a@b.org and a@b.org"
+    assert [text[b:e] for b, e, _ in P.find(text)] == ["a@b.org"] * 2
+    assert P.redact(text) == "İ mail [EMAIL] and [EMAIL]"
+
+
+def test_long_texts_are_quick():
+    for text in ("1" * 300_000, "@" * 100_000, "1." * 100_000, "password=" * 20_000, "a@b." * 50_000, "+1 " * 50_000):
+        P.find(text)
+
+
+def test_pii_tables(docs, prose):
+    rows = [(1, "a@b.org"), (1, "a@b.org"), (2, None), (3, ""), (None, "10.0.0.1"), (4, prose(1, 20000) + " c@d.net")]
+    got = sorted((str(r["doc_id"]), r["kind"], r["value"]) for r in P.personal_data(docs(rows)).collect())
+    assert got == [("1", "email", "a@b.org")] * 2 + [("4", "email", "c@d.net"), ("None", "ipv4", "10.0.0.1")]
+    assert P.personal_data(docs([])).count() == 0
+
+
+def brute(text):
+    """Every notice with the regex library alone, over the whole text."""
+    import regex
+
+    found = set()
+    for name, notice in C.NOTICES:
+        e = len(notice) // C.CHARACTERS_AN_EDIT
+        for m in regex.finditer(rf"(?b)(?:{regex.escape(notice.lower())}){{e<={e}}}", text.lower()):
+            found.add((sum(m.fuzzy_counts), -len(notice), m.start(), m.end(), name))
+    kept = []
+    for edits, _, b, e, name in sorted(found):
+        if all(e <= x or b >= y for _, x, y, _ in kept):
+            kept.append((name, b, e, edits))
+    return sorted(kept, key=lambda x: x[1])
+
+
+EDITS = [lambda s: s, lambda s: s.upper(), lambda s: s.replace("e", "3", 2), lambda s: s[:5] + s[6:], lambda s: s[:9] + "xx" + s[9:], lambda s: s.replace(" ", "\n", 1)]
+
+
+@pytest.mark.parametrize("k", range(len(C.NOTICES)))
+def test_license_edits(k, prose):
+    name, notice = C.NOTICES[k]
+    for edit in EDITS:
+        got = C.notices().find(prose(k, 12) + "\n" + edit(notice) + " " + prose(k + 50, 8))
+        assert name in [g[0] for g in got]
+
+
+@pytest.mark.parametrize("k", range(0, len(C.NOTICES), 4))
+def test_licenses_agree_with_brute_force(k, prose):
+    text = prose(k, 6) + "\n" + EDITS[k // 4 % 6](C.NOTICES[k][1]) + " " + prose(k + 50, 4)
+    got = C.notices().find(text)
+    assert got and [(g[0], g[3]) for g in got] == [(w[0], w[3]) for w in brute(text)]
+
+
+def test_license_tables(docs, prose):
+    n = "Released under the MIT License"
+    rows = [(1, n), (1, n), (2, None), (3, ""), (None, n), (4, prose(1, 20000) + n + ". " + n), (5, "license license under the")]
+    got = sorted((str(r["doc_id"]), r["license"], r["edits"], r["value"]) for r in C.license_notices(docs(rows)).collect())
+    assert got == [("1", "MIT", 0, n)] * 2 + [("4", "MIT", 0, n)] * 2 + [("None", "MIT", 0, n)]
+    assert C.license_notices(docs([])).count() == 0
+
+
+def test_sequence():
+    page = '<title>T</title><p>a &amp; b<figure><img src="x.png#f" alt=q><figcaption>cap <b>t</b></figcaption></figure>after<script>if(a<b){"<img src=1>"}</script><!-- <img src=no> --><video><source src=v.mp4></video><img alt="none"><a href="/l">link</a>'
+    got = M.sequence(page, "https://H.com/d/", links=True)
+    assert [(x["kind"], x["text"] or x["url"]) for x in got] == [("text", "T a & b"), ("image", "https://h.com/d/x.png"), ("text", "cap t after"), ("source", "https://h.com/d/v.mp4"), ("link", "https://h.com/l"), ("text", "link")]
+    assert got[1]["caption"] == "cap t" and got[1]["alt"] == "q" and [x["position"] for x in got] == list(range(6))
+    assert got[1]["digest"] == M.digest("https://h.com/d/x.png")
+
+
+@pytest.mark.parametrize("page,texts", [("", []), ("plain", ["plain"]), ("<p", []), ("a<!-- b", ["a"]), ("a < b > c", ["a < b > c"]), ("<script>x", []), ('<img src="">t', ["t"]), ("<b>x</b>y", ["xy"]), ("<p>x</p>y", ["x y"])])
+def test_broken_pages(page, texts):
+    assert [x["text"] for x in M.sequence(page)] == texts
+
+
+def test_media_tables(spark):
+    page = '<p>x</p><img src=1.png><img src=2.png>'
+    pages = spark.createDataFrame([(1, "http://a.com/", page, "z"), (1, "http://a.com/", page, "z"), (None, None, None, "z"), (3, "http://b.com/", "", "z"), (4, "http://c.com/", "<p>" + "w " * 200_000 + "<img src=1.png>", "z")], "page_id long, url string, html string, items string")
+    pay = spark.createDataFrame([(M.digest("http://a.com/2.png"), "two"), (M.digest("http://a.com/2.png"), "zwei"), (None, "n")], "digest string, payload string")
+    got = M.interleaved(pages, pay).collect()
+    assert len(got) == 5
+    by = {r["page_id"]: r["items"] for r in got}
+    assert [(x["position"], x["kind"], x["payload"]) for x in by[1]] == [(0, "text", None), (1, "image", None), (2, "image", "two")]
+    assert by[None] == [] and by[3] == [] and len(by[4]) == 2
+    assert M.interleaved(pages.limit(0), pay.limit(0)).count() == 0
