@@ -71,7 +71,7 @@ def sequence(page: str, base: str = "", links: bool = False) -> list[dict]:
         joined = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         text.clear()
         if joined:
-            items.append({"kind": "text", "text": joined, "url": None, "digest": None, "alt": None, "caption": None})
+            items.append({"kind": "text", "text": joined, "url": None, "alt": None, "caption": None})
 
     def words(piece: str):
         if piece:
@@ -117,7 +117,7 @@ def sequence(page: str, base: str = "", links: bool = False) -> list[dict]:
             if url:
                 flush()
                 full = resolve(base, url)
-                items.append({"kind": kind, "text": None, "url": full, "digest": digest(full), "alt": has.get("alt") or None, "caption": None})
+                items.append({"kind": kind, "text": None, "url": full, "alt": has.get("alt") or None, "caption": None})
                 if figure is not None:
                     figure.append(items[-1])
     flush()
@@ -127,13 +127,18 @@ def sequence(page: str, base: str = "", links: bool = False) -> list[dict]:
 
 
 ITEM = T.StructType(
-    [T.StructField("position", T.IntegerType())] + [T.StructField(n, T.StringType()) for n in ("kind", "text", "url", "digest", "alt", "caption")]
+    [T.StructField("position", T.IntegerType())] + [T.StructField(n, T.StringType()) for n in ("kind", "text", "url", "alt", "caption")]
 )
 
 
+def with_digest(item):
+    """The digest follows from the URL, so it isn't carried through a shuffle."""
+    return item.withField("digest", F.sha2(item["url"], 256))
+
+
 def sequences(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", links: bool = False) -> DataFrame:
     """(page_id, url, items): each page's ordered items."""
-    return _parsed(pages, id_col, url_col, html_col, links).drop("row")
+    return _parsed(pages, id_col, url_col, html_col, links).select("page_id", "url", F.transform("items", with_digest).alias("items"))
 
 
 def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str, links: bool) -> DataFrame:
@@ -162,14 +167,14 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str, links: b
 def interleaved(pages: DataFrame, payloads: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", links: bool = False) -> DataFrame:
     """(page_id, url, items): as ``sequences``, each item with its payload, from (digest, payload)."""
     parsed = _parsed(pages, id_col, url_col, html_col, links)
-    one = payloads.filter("digest is not null").groupBy("digest").agg(F.min("payload").alias("payload"))
+    one = payloads.filter("digest is not null").groupBy(F.unhex("digest").alias("digest")).agg(F.min("payload").alias("payload"))
     # only references go through this shuffle, and only those with a payload come back
-    wanted = parsed.select("row", F.explode("items").alias("item")).filter("item.digest is not null").select("row", "item.position", F.col("item.digest").alias("digest"))
+    wanted = parsed.select("row", F.explode("items").alias("item")).filter("item.url is not null").select("row", "item.position", F.unhex(F.sha2("item.url", 256)).alias("digest"))
     met = wanted.join(one, "digest").dropDuplicates(["row", "position"])
     found = met.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", "payload"))).alias("payloads"))
     joined = parsed.join(found, "row", "left")
     kind = payloads.schema["payload"].dataType
-    with_payload = F.transform("items", lambda x: x.withField("payload", F.coalesce(F.element_at(F.col("payloads"), x["position"]), F.lit(None).cast(kind))))
+    with_payload = F.transform("items", lambda x: with_digest(x).withField("payload", F.coalesce(F.element_at(F.col("payloads"), x["position"]), F.lit(None).cast(kind))))
     return joined.select("page_id", "url", with_payload.alias("items"))
 
 
