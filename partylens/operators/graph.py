@@ -6,20 +6,12 @@ round's result is checkpointed, so lineage stays short.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FLIPPED = ("reads", "writes", "joins-on")
-
+from partylens.storage import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; one of our own where none is configured (tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="partylens-"))
-    return df.checkpoint()
+FLIPPED = ("reads", "writes", "joins-on")
 
 
 def dependencies(edges: DataFrame) -> DataFrame:

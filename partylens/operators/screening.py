@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partylens.functions import names as N
+from partylens.storage import cut
 
 WEIGHTS = {"jaro_winkler": 0.35, "jaccard": 0.20, "containment": 0.20, "edit": 0.15, "skeleton": 0.10}
 STRONG, WEAK, COMMON_SHARE, BLOCK_CAP, SHORT = 0.90, 0.78, 0.02, 20_000, 4
@@ -145,8 +146,9 @@ def subject_queries(subjects: DataFrame) -> DataFrame:
 
 def screen(subjects: DataFrame, parties: DataFrame, least: str = "WEAK", cap: int = BLOCK_CAP) -> DataFrame:
     """The best candidate of each subject and party at or above a band, with its signals."""
-    names = index(parties)
-    pairs = cheap_signals(candidate_pairs(subject_queries(subjects), names, cap)).filter(promising())
+    # each is read four times below: the forms are worked out once and kept as a snapshot
+    names, queries = cut(index(parties)), cut(subject_queries(subjects))
+    pairs = cheap_signals(candidate_pairs(queries, names, cap)).filter(promising())
     scored = score(pairs).withColumn("band", band()).withColumn("band_rank", band_rank())
     best = Window.partitionBy("subject_id", "uid").orderBy(F.desc("band_rank"), F.desc("score"), "query_id", "entry_id")
     kept = scored.filter(F.col("band_rank") >= BAND_RANK[least]).withColumn("rn", F.row_number().over(best)).filter("rn = 1")
