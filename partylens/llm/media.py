@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partylens.llm.base import RUN_CHARS, table
+from partylens.llm.base import RUN_CHARS, Scratch, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -172,6 +172,8 @@ def interleaved(pages: DataFrame, payloads: DataFrame, id_col: str = "page_id",
     wanted = parsed.select("row", F.explode("items").alias("item")).filter("item.url is not null").select("row", "item.position", F.unhex(F.sha2("item.url", 256)).alias("digest"))
     met = wanted.join(one, "digest").dropDuplicates(["row", "position"])
     found = met.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", "payload"))).alias("payloads"))
+    # as a written table its size is known when the join is planned: if it is small it is broadcast, and no page is shuffled
+    found = Scratch(pages.sparkSession).save(found)
     joined = parsed.join(found, "row", "left")
     kind = payloads.schema["payload"].dataType
     with_payload = F.transform("items", lambda x: with_digest(x).withField("payload", F.coalesce(F.element_at(F.col("payloads"), x["position"]), F.lit(None).cast(kind))))
