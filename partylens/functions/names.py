@@ -34,7 +34,7 @@ SAME_WORD = dict(
 )
 #: Romanisation digraphs, in the order of their replacement.
 DIGRAPHS = tuple(tuple(p.split(">")) for p in "sch>s sh>s ch>c kh>k gh>g ph>f th>t zh>j dh>d ts>c ck>k qu>k ough>o x>ks".split())
-_SPELLED_OUT = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH"}
+_SPELLED_OUT = dict(zip("ßæÆœŒþÞ", "ss ae AE oe OE th TH".split()))
 _ONE_FOR_ONE = dict(zip("øØđĐłŁðÐı", "oOdDlLdDi"))
 
 
@@ -100,7 +100,7 @@ def core_tokens(words: Column) -> Column:
 
 def skeleton(core: Column) -> Column:
     """Consonants of each core token: Slavic endings, digraphs and doubled letters brought together."""
-    s = F.regexp_replace(F.array_join(core, " "), "(off|ov|ow|ev|eff|ew|of)(?= |$)", "ov")
+    s = F.regexp_replace(F.array_join(core, " "), "(off?|o[vw]|eff|e[vw])(?= |$)", "ov")
     for a, b in DIGRAPHS:
         s = F.replace(s, F.lit(a), F.lit(b))
     return F.regexp_replace(F.regexp_replace(s, r"(\S)\1+", "$1"), r"(?<=\S)[aeiouy]", "")
@@ -155,38 +155,30 @@ def acronym_of(short: Column, toks: Column) -> Column:
     return (F.length(plain) >= 2) & (F.size(toks) >= 2) & (plain == F.array_join(F.transform(toks, lambda t: F.substring(t, 1, 1)), ""))
 
 
-def jaro(a: str, b: str) -> float:
+def jaro(one: str, other: str):
     """Jaro similarity; half transpositions count as halves."""
-    if a == b:
-        return 1.0
-    if not a or not b:
+    if one == other or not (one and other):
+        return float(one == other)
+    reach = max(0, max(map(len, (one, other))) // 2 - 1)
+    unused = set(range(len(other)))
+    met = []
+    for i, c in enumerate(one):
+        near = next((j for j in range(max(0, i - reach), min(len(other), i + reach + 1)) if j in unused and other[j] == c), None)
+        if near is not None:
+            unused.discard(near)
+            met.append(c)
+    if not met:
         return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    free = [True] * len(b)
-    left = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                left.append(c)
-                break
-    if not left:
-        return 0.0
-    right = [c for c, unused in zip(b, free) if not unused]
-    half = sum(x != y for x, y in zip(left, right)) / 2
-    m = len(left)
-    return (m / len(a) + m / len(b) + (m - half) / m) / 3
+    back = [c for j, c in enumerate(other) if j not in unused]
+    m, half = len(met), sum(map(str.__ne__, met, back)) / 2
+    return sum((m / len(one), m / len(other), 1 - half / m)) / 3
 
 
-def jaro_winkler_value(a: str, b: str) -> float:
-    score = jaro(a, b)
+def jaro_winkler_value(one: str, other: str):
+    score = jaro(one, other)
     if score <= 0.7:
         return score
-    same = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        same += 1
+    same = next((k for k in range(4) if one[k : k + 1] != other[k : k + 1] or not one[k : k + 1]), 4)
     return score + 0.1 * same * (1 - score)
 
 

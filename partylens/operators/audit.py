@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
+_ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=True)
 
 
 def canonical(body: dict) -> str:
     """Sorted keys, no blanks, non-ASCII as it is."""
-    return json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _ENCODER.encode(body)
 
 
 def digest(body: dict) -> str:

@@ -30,7 +30,7 @@ INTERMEDIARY = "agent|broker|forwarder|intermediary|trading"
 #: List code to (rule, severity); orders of DPL count only while in force.
 LIST_RULES = {"SDN": ("LIST.SDN", "prohibitive"), "NONSDN": ("LIST.NONSDN", "license"), "EL": ("LIST.ENTITY", "license"), "UVL": ("LIST.UVL", "diligence"), "MEU": ("LIST.MEU", "license"), "DTC": ("LIST.DDTC", "prohibitive"), "ISN": ("LIST.ISN", "license"), "UNKNOWN": ("LIST.UNKNOWN_SOURCE", "diligence")}
 AFFILIATES = ("DPL", "EL", "MEU")
-CLASS_FORMAT = r"(?i)^\d[A-E]\d{3}(\.[a-z0-9]+)*$"
+CLASS_FORMAT = r"(?i)^[0-9][A-E][0-9]{3}(?:[.][a-z0-9]+)*$"
 SENTINEL = "-0-"
 
 

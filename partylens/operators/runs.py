@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANK = {"CLEAR": 0, "REVIEW": 1, "CONFIRMED_HIT": 2, "BLOCKED": 3, "ESCALATE": 4}
-DISPLAY = {"BLOCKED": 0, "ESCALATE": 1, "CONFIRMED_HIT": 2, "REVIEW": 3, "CLEAR": 4}
-SEVERITY = {"informational": 0, "diligence": 1, "license": 2, "prohibitive": 3}
+RANK = {name: i for i, name in enumerate("CLEAR REVIEW CONFIRMED_HIT BLOCKED ESCALATE".split())}
+DISPLAY = {name: i for i, name in enumerate("BLOCKED ESCALATE CONFIRMED_HIT REVIEW CLEAR".split())}
+SEVERITY = {name: i for i, name in enumerate("informational diligence license prohibitive".split())}
 
 
 def lookup(values: dict, column: Column | str, default=None) -> Column:

@@ -8,17 +8,17 @@ Every step is a DataFrame operator; the only Python is the Arrow UDF behind the
 from __future__ import annotations
 
 import hashlib
-import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partylens.functions import names as N
+from partylens.operators.audit import canonical
 from partylens.storage import cut
 
 WEIGHTS = {"jaro_winkler": 0.35, "jaccard": 0.20, "containment": 0.20, "edit": 0.15, "skeleton": 0.10}
 STRONG, WEAK, COMMON_SHARE, BLOCK_CAP, SHORT = 0.90, 0.78, 0.02, 20_000, 4
-BAND_RANK = {"EXACT": 3, "STRONG": 2, "WEAK": 1, "NONE": 0}
+BAND_RANK = {name: i for i, name in enumerate("NONE WEAK STRONG EXACT".split())}
 
 
 def index(parties: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def common_tokens(names: DataFrame) -> DataFrame:
 
 
 def inverse_frequency(df: Column, n: Column) -> Column:
-    return F.round(F.log((n + 1) / (df + 1)) + 1, 4)
+    return F.round(1 + F.log(n + 1) - F.log(df + 1), 4)
 
 
 def block(queries: DataFrame, names: DataFrame, cap: int = BLOCK_CAP) -> tuple[DataFrame, DataFrame]:
@@ -166,4 +166,4 @@ def bounded_searches(subjects: DataFrame, parties: DataFrame, cap: int = BLOCK_C
 def tuning_digest() -> str:
     """A hash over all that scoring depends on, word lists included."""
     what = {"weights": WEIGHTS, "limits": [STRONG, WEAK, COMMON_SHARE, BLOCK_CAP, SHORT], "forms": N.LEGAL_FORMS, "stop": N.STOP_WORDS, "same": N.SAME_WORD, "digraphs": N.DIGRAPHS}
-    return hashlib.sha256(json.dumps(what, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    return hashlib.sha256(canonical(what).encode()).hexdigest()

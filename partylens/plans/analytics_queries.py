@@ -12,7 +12,7 @@ from partylens.operators import profile as P
 from partylens.operators.runs import lookup
 from partylens.plans.registry import query, t
 
-# ---- constraints -------------------------------------------------------------------------------
+# constraints
 
 
 @query("SELECT 'V-07' AS check_id, c_mktsegment || '/' || c_nationkey AS entity_id, 'duplicate segment: ' || count(*) AS message FROM customer GROUP BY c_mktsegment, c_nationkey HAVING count(*) > 1")
@@ -94,7 +94,7 @@ def usage_constraints(spark, d):
     return C.usage_rules(f)
 
 
-# ---- lists: merges and duplicates ------------------------------------------------------------------
+# lists: merges and duplicates
 
 
 @query("""WITH r AS (SELECT c_mktsegment || '/' || c_nationkey AS uid, c_custkey AS ord, c_name AS name, c_mktsegment AS program FROM customer)
@@ -135,7 +135,7 @@ def field_cleaning(spark, d):
     return x.select("o_orderkey", F.array_join(R.split_multi(F.col("raw")), ",").alias("parts"), R.clean(F.when(F.col("o_orderkey") % 2 == 0, " -0- ").otherwise(F.col("raw"))).alias("cleaned"))
 
 
-# ---- audit ---------------------------------------------------------------------------------------
+# audit
 
 _CHAIN_SQL = """WITH RECURSIVE b AS (SELECT row_number() OVER (ORDER BY event_id) AS seq, event_type || ':' || user_id AS body FROM events ORDER BY event_id LIMIT 500),
 chain(seq, prev_hash, body, hash) AS (SELECT seq, repeat('0', 64), body, sha256('1|' || repeat('0', 64) || '|' || body) FROM b WHERE seq = 1
@@ -173,7 +173,7 @@ def audit_verify(spark, d):
     return A.verify(_chain(spark, d))
 
 
-# ---- graph ---------------------------------------------------------------------------------------
+# graph
 
 #: Nations point on to others; five islands by residue, with one cycle each way where keys wrap.
 _G = "g AS (SELECT n_nationkey AS src, n_nationkey + 5 AS dst FROM nation WHERE n_nationkey < 20 AND n_nationkey % 5 <> 3 UNION ALL SELECT 20, 10 UNION ALL SELECT 11, 2 UNION ALL SELECT 2, 12)"
@@ -256,7 +256,7 @@ def set_cover(spark, d):
     return spark.createDataFrame([(i, int(k)) for i, k in enumerate(chosen, 1)], "step int, l_suppkey int")
 
 
-# ---- profiling -----------------------------------------------------------------------------------
+# profiling
 
 _TABLES = {"customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderpriority", "documents": "doc_id lang source n_chars", "region": "r_regionkey r_name"}
 
@@ -321,7 +321,7 @@ def export_completeness(spark, d):
     return x.join(y, "entity", "full_outer").select("entity", F.coalesce("exported", z).alias("exported"), F.coalesce("held", z).alias("held"), (F.coalesce("held", z) - F.coalesce("exported", z)).alias("gap"))
 
 
-# ---- verdicts and replay ----------------------------------------------------------------------------
+# verdicts and replay
 
 _USE_SQL = """u AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE count(o_orderkey) END AS events, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2002-01-01') AS days, CASE WHEN c_custkey % 2 = 0 THEN 3650 ELSE 90 END AS horizon,
 CASE c_custkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'normal' ELSE 'important' END AS crit, c_custkey % 7 AS cites FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey),

@@ -24,7 +24,7 @@ _CORE = f"CASE WHEN len(list_filter({{t}}, lambda w: NOT list_contains({_list(N.
 
 
 def _skeleton(core: str) -> str:
-    word = "regexp_replace(w, '(off|ov|ow|ev|eff|ew|of)$', 'ov')"
+    word = "regexp_replace(w, '(off?|o[vw]|eff|e[vw])$', 'ov')"
     for a, b in N.DIGRAPHS:
         word = f"replace({word}, '{a}', '{b}')"
     for c in "abcdefghijklmnopqrstuvwxyz":
@@ -204,7 +204,7 @@ def block_truncated(spark, d):
     return S.bounded_searches(_subjects(spark, d), _distinct_list(spark, d), cap=30)
 
 
-# ---- rules -------------------------------------------------------------------------------------
+# rules
 
 _COUNTRY_SQL = """WITH x AS (SELECT c_custkey, CASE n_nationkey % 6 WHEN 0 THEN 'Iran' WHEN 1 THEN 'CU' WHEN 2 THEN 'Türkiye' WHEN 3 THEN 'zz' WHEN 4 THEN '' ELSE 'DE' END AS raw FROM customer JOIN nation ON c_nationkey = n_nationkey),
 r AS (SELECT c_custkey, raw, CASE lower(strip_accents(raw)) WHEN 'iran' THEN 'IR' WHEN 'cu' THEN 'CU' WHEN 'turkiye' THEN 'TR' WHEN 'de' THEN 'DE' ELSE '' END AS iso FROM x)"""

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,10 +29,6 @@ PARTY_FIELDS = {
 NAME_LIMIT, ALIAS_LIMIT = 256, 50
 
 
-def header_key(name: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
-
-
 def decode(content: bytes) -> tuple[str, str]:
     """Text and the encoding that fitted."""
     for encoding in ("utf-8-sig", "cp1252"):
@@ -93,7 +88,7 @@ def party_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     got = rows.select("path", "row_no", "ragged", *[clean(field(v)).alias(k) for k, v in PARTY_FIELDS.items()])
     subjects = got.filter("name <> ''").select(
         F.when(F.col("ref") != "", F.col("ref")).otherwise(F.concat(F.lit("row"), "row_no")).alias("ref"), F.substring("name", 1, NAME_LIMIT).alias("name"),
-        F.when(F.col("party_type").isin("individual", "entity", "vessel", "aircraft"), F.col("party_type")).otherwise("unknown").alias("party_type"), "country", "address", "role",
+        F.when(F.col("party_type").isin(*"aircraft entity individual vessel".split()), F.col("party_type")).otherwise("unknown").alias("party_type"), "country", "address", "role",
         F.slice(split_multi(F.col("aliases")), 1, ALIAS_LIMIT).alias("aliases"), F.when(F.col("destination_country") != "", F.col("destination_country")).otherwise(F.col("country")).alias("destination_country"), "eccn", "item_description", "end_use",
     )
     why = F.filter(F.array(F.when(F.col("name") == "", "blank name"), F.when(F.col("ragged"), "ragged row"), F.when(F.length("name") > NAME_LIMIT, "name cut")), lambda x: x.isNotNull())

@@ -11,8 +11,9 @@ from partylens.operators.runs import DISPLAY, lookup
 def escaped(x: Column) -> Column:
     """Text that can't break a Markdown table: backslashes first, then the marks, line feeds to blanks."""
     out = F.replace(x, F.lit("\\"), F.lit("\\\\"))
-    for mark, instead in (("|", "\\|"), ("<", "&lt;"), (">", "&gt;"), ("`", "\\`"), ("[", "\\["), ("]", "\\]")):
-        out = F.replace(out, F.lit(mark), F.lit(instead))
+    for mark in "|`[]":
+        out = F.replace(out, F.lit(mark), F.lit("\\" + mark))
+    out = F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return F.trim(F.regexp_replace(out, r"[\r\n]+", " "))
 
 

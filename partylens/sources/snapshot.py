@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXPECTED = ("CSL", "SDN", "SDN_ALT", "NONSDN", "DPL")
+EXPECTED = tuple("CSL DPL NONSDN SDN SDN_ALT".split())
 STALE_DAYS = 7.0
 
 

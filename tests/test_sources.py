@@ -20,7 +20,7 @@ def test_party_file(spark, tmp_path):
 
 def test_positional_lists(spark, tmp_path):
     for name, text in {
-        "sdn": '1,"ALPHA, Bo",individual,"X] [Y",-0- ,-0-,-0-,-0-,-0-,-0-,-0-,note\n2,BETA,-0- ,Z,-0-,-0-,-0-,"12,300",-0-,-0-,-0-,-0-\nshort,row\n',
+        "sdn": '1,"ALPHA, Bo",individual,"X] [Y",' + "-0- ," * 7 + 'note\n2,BETA,-0- ,Z,' + "-0-," * 3 + '"12,300",' + ",".join(["-0-"] * 4) + "\nshort,row\n",
         "alt": "1,1,aka,Alfa,-0-\n1,2,aka,Alef,-0-\n9,3,aka,Lost,-0-\n", "add": '1,1,"5, Main St",Town,Land,-0-\n',
     }.items():
         (tmp_path / name).mkdir()
