@@ -78,3 +78,50 @@ def usage_rules(features: DataFrame) -> DataFrame:
         requires(features, "C-03", "id", usage == "never", F.col("unused_reason").isNotNull(), "never used, without reason"),
         requires(features, "C-04", "id", F.col("criticality") == "critical", (F.size("business_processes") > 0) & supports("criticality"), "critical without process or evidence"),
     ])
+
+
+def pair_rules(pairs: DataFrame) -> DataFrame:
+    """C-06 to C-11 over pairs (pair_id, pair_type, label_authority, dataset_role, evidence count, replay_context, tier, reviewer)."""
+    kind, authority = F.col("pair_type"), F.col("label_authority")
+    held = F.col("evidence") > 0
+    return together([
+        requires(pairs, "C-06", "pair_id", kind == "replay", F.col("replay_context").isNotNull() & (authority == "system-of-record"), "replay without context or record"),
+        requires(pairs, "C-07", "pair_id", kind == "perception", authority == "observed-ui", "perception not from the interface"),
+        requires(pairs, "C-08", "pair_id", kind == "judgment", (authority == "analyst") & held, "judgment without analyst or evidence"),
+        requires(pairs, "C-09", "pair_id", kind == "design", authority.isin("analyst", "validated-design") & held, "design without authority or evidence"),
+        requires(pairs, "C-10", "pair_id", F.col("tier") == "sanitized-shareable", F.col("reviewer").isNotNull(), "shared without review"),
+        requires(pairs, "C-11", "pair_id", F.col("dataset_role") == "holdout-eval", authority != "analyst", "held-out label by an analyst"),
+    ])
+
+
+def preservation_rules(artifacts: DataFrame) -> DataFrame:
+    """C-12 over artifacts (id, status, files count, verified_at, gap, sensitivity, encrypted, backed_up)."""
+    exported, secret = F.col("status") == "exported", F.col("sensitivity").isin("confidential", "restricted")
+    return together([
+        requires(artifacts, "C-12a", "id", exported, (F.col("files") > 0) & F.col("verified_at").isNotNull(), "exported without files or check"),
+        requires(artifacts, "C-12b", "id", F.col("status") != "exported", F.col("gap").isNotNull(), "not exported, without a gap told"),
+        requires(artifacts, "C-12c", "id", exported & secret, F.col("encrypted") & F.col("backed_up"), "secret export not protected"),
+    ])
+
+
+PATTERNS = {"kebab": "^[a-z0-9]+(-[a-z0-9]+)*$", "sha256": "^[0-9a-f]{64}$", "https": "^https://[^ ]+$", "timestamp": "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"}
+
+
+def pattern(df: DataFrame, check: str, entity: str, column: str, kind: str) -> DataFrame:
+    """C-14: values that aren't of a kind."""
+    return requires(df, check, entity, F.col(column).isNotNull(), F.col(column).rlike(PATTERNS[kind]), f"{column} is no {kind}")
+
+
+def file_rules(told: DataFrame, found: DataFrame) -> DataFrame:
+    """V-36 to V-41: told files (artifact, path, bytes, sha256) against those found (path, bytes, sha256)."""
+    outside_root = F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), "..")
+    there = found.select("path", F.col("bytes").alias("real_bytes"), F.col("sha256").alias("real_sha256"))
+    both = told.filter(~outside_root).join(there, "path", "left")
+    twice = told.groupBy("path").agg(F.countDistinct("artifact").alias("n")).filter("n > 1")
+    return together([
+        violations(told.filter(outside_root), "V-36", "path", "path leaves the folder"),
+        violations(both.filter("real_bytes is null"), "V-37", "path", "file is missing"),
+        violations(both.filter("real_bytes <> bytes"), "V-38", "path", "size differs"),
+        violations(both.filter("real_sha256 <> sha256"), "V-39", "path", "digest differs"),
+        violations(twice, "V-41", "path", "file of several artifacts"),
+    ])

@@ -144,3 +144,56 @@ def dedupe(parties: DataFrame) -> DataFrame:
     for one in [*merged, remarks]:
         out = out.join(one, "uid", "left")
     return out
+
+#: Fields of the headed lists and the headers that stand for them.
+LIST_FIELDS = {
+    "native_id": "entity_number id", "source_label": "source list", "name": "name entity_name", "party_type": "type entity_type", "programs": "programs program", "aliases": "alt_names aliases aka",
+    "addresses": "addresses address", "countries": "countries country", "remarks": "remarks action", "federal_register": "federal_register_notice fr_citation", "begin": "start_date effective_date", "end": "end_date expiration_date",
+    "license_requirement": "license_requirement", "license_policy": "license_policy license_review_policy", "ids": "ids",
+}
+#: Exact labels only: a near miss is UNKNOWN, never a neighbour's list.
+LABELS = dict(
+    pair.split("=")
+    for pair in (
+        "denied persons list=DPL|denied persons list (dpl)=DPL|entity list=EL|entity list (el)=EL|unverified list=UVL|unverified list (uvl)=UVL|military end user=MEU|military end user (meu) list=MEU"
+        "|specially designated nationals=SDN|specially designated nationals (sdn)=SDN|sectoral sanctions identifications list (ssi)=NONSDN|foreign sanctions evaders (fse)=NONSDN"
+        "|nonproliferation sanctions (isn)=ISN|itar debarred (dtc)=DTC"
+    ).split("|")
+)
+EFFECT = {"DPL": "no participation", "SDN": "blocked", "NONSDN": "partly restricted", "EL": "license needed", "MEU": "license needed", "UVL": "statement needed", "ISN": "sanctioned", "DTC": "debarred"}
+
+
+def list_code(label: Column) -> Column:
+    """The list code of a label: exact but for case and blanks, UNKNOWN otherwise."""
+    key = F.trim(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"\s+", " "))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in LABELS.items() for x in p]), key), F.lit("UNKNOWN"))
+
+
+def effect(code: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in EFFECT.items() for x in p]), code), F.lit("unknown list: treat as restricted until told"))
+
+
+def headed_list(spark: SparkSession, path: str, delimiter: str = ",", code: str | None = None, ordinal_ids: bool = False, forced_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parties, rejects) of a list with a header; blank names are rejected, ordinals count them too.
+
+    ``code`` names a single-list file; without it the source column decides. ``ordinal_ids`` makes the row
+    ordinal the id, as for the tab-delimited orders list, beside a hash of the content that outlives a reissue.
+    """
+    rows = headed(records(spark, path, delimiter))
+    got = rows.select("path", "row_no", "raw", *[clean(field(v)).alias(k) for k, v in LIST_FIELDS.items()])
+    source = F.lit(code) if code else list_code(F.col("source_label"))
+    ordinal = (F.col("row_no") - 1).cast("string")
+    native = ordinal if ordinal_ids else F.when(F.col("native_id") != "", F.col("native_id")).otherwise(F.concat(F.lit("row"), ordinal))
+    notes = F.array_join(F.filter(F.array("remarks", "license_requirement", "license_policy"), lambda x: x != ""), "; ")
+    parties = got.filter("name <> ''").select(
+        F.concat_ws(":", source, native).alias("uid"), source.alias("source"), native.alias("native_id"), "name", (F.lit(forced_type) if forced_type else party_type(F.col("party_type"))).alias("party_type"),
+        *[split_multi(F.col(c)).alias(c) for c in ("aliases", "addresses", "countries", "programs", "ids")], notes.alias("remarks"), "federal_register", "begin", "end", F.col("row_no").alias("ord"),
+        F.sha2(F.concat_ws("|", F.map_values("raw")), 256).alias("content_hash"),
+    )
+    return parties, got.filter("name = ''").select("path", "row_no")
+
+
+def unknown_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Source labels without a list code, which are told."""
+    got = headed(records(spark, path)).select(clean(field(LIST_FIELDS["source_label"])).alias("label"))
+    return got.filter(list_code(F.col("label")) == "UNKNOWN").groupBy("label").agg(F.count("*").alias("n"))

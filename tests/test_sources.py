@@ -57,3 +57,18 @@ def test_worklist(spark):
     lines = K.worklist(df).splitlines()
     assert lines[2].startswith("| 1 |") and "a\\|b &lt;c&gt;" in lines[3] and len(lines) == 4
     assert spark.range(1).select(K.escaped(F.lit("a\\[b]"))).first()[0] == "a\\\\\\[b\\]"
+
+
+def test_headed_lists(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.csv").write_text('id,source,entity_number,type,name,alt_names,countries,license_policy\na,Entity List (EL),7,Entity,"Alpha, Ltd",A; B,DE,denial\nb,Entity Lists,,Vessel,Beta,,,\nc,Entity List,,,,,,\n')
+    parties, rejects = D.headed_list(spark, str(tmp_path / "c"))
+    got = {r["uid"]: r for r in parties.collect()}
+    assert set(got) == {"EL:7", "UNKNOWN:b"} or set(got) == {"EL:7", "UNKNOWN:row2"}
+    assert got["EL:7"]["aliases"] == ["A", "B"] and got["EL:7"]["remarks"] == "denial" and got["EL:7"]["party_type"] == "entity"
+    assert [r["row_no"] for r in rejects.collect()] == [4]
+    assert [r["label"] for r in D.unknown_labels(spark, str(tmp_path / "c")).collect()] == ["Entity Lists"]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.txt").write_text("Name\tEffective_Date\n\t1/1/2020\nZed\t2/1/2024\n")
+    orders, _ = D.headed_list(spark, str(tmp_path / "t"), "\t", code="DPL", ordinal_ids=True)
+    assert [(r["uid"], r["begin"]) for r in orders.collect()] == [("DPL:2", "2/1/2024")]
