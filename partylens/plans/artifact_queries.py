@@ -21,7 +21,7 @@ UNION ALL SELECT 'C-10', id, 'shared without review' FROM p WHERE tier = 'saniti
 UNION ALL SELECT 'C-11', id, 'held-out label by an analyst' FROM p WHERE role = 'holdout-eval' AND auth = 'analyst'""")
 def pair_constraints(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    authorities = dict(enumerate(["system-of-record", "observed-ui", "analyst", "validated-design", "analyst"]))
+    authorities = dict(enumerate("system-of-record observed-ui analyst validated-design analyst".split()))
     p = t(spark, d, "orders").select(
         k.alias("pair_id"), lookup(dict(enumerate(["replay", "perception", "judgment", "design"])), k % 4).alias("pair_type"), lookup(authorities, k % 5).alias("label_authority"), F.when(c % 3 == 0, "holdout-eval").otherwise("train").alias("dataset_role"),
         (c % 4).alias("evidence"), F.when(c % 2 == 0, "c").alias("replay_context"), F.when(c % 7 == 0, "sanitized-shareable").otherwise("raw").alias("tier"), F.when(k % 2 == 0, "r").alias("reviewer"),
