@@ -40,7 +40,7 @@ def preservation_constraints(spark, d):
     k = F.col("c_custkey")
     a = t(spark, d, "customer").select(
         k.alias("id"), F.when(k % 3 == 0, "gap").otherwise("exported").alias("status"), (k % 4).alias("files"), F.when(k % 5 > 0, 1).alias("verified_at"), F.when(k % 6 == 0, "why").alias("gap"),
-        lookup(dict(enumerate(["public", "internal", "confidential", "restricted"])), F.col("c_nationkey") % 4).alias("sensitivity"), (k % 2 == 0).alias("encrypted"), (k % 7 > 0).alias("backed_up"),
+        lookup(dict(enumerate("public internal confidential restricted".split())), F.col("c_nationkey") % 4).alias("sensitivity"), (k % 2 == 0).alias("encrypted"), (k % 7 > 0).alias("backed_up"),
     )
     return C.preservation_rules(a)
 
