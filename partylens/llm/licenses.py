@@ -6,7 +6,8 @@ that they imply differ by no more than ``errors``. So one Aho-Corasick pass over
 all pieces of all notices finds seeds of every occurrence, and a lone seed is none. Around agreeing seeds the
 regex library's bounded-error matching verifies the notice and gives its span and its number of edits.
 
-Of overlapping matches the one with the fewest edits stays, then the longer notice, then the earlier.
+Of overlapping matches the one with the fewest edits stays, then the longer notice, then the earlier. But a
+notice with which a longer one of its license begins gives way to the longer one wherever both match.
 Defined results: null and empty texts hold none. Repeated rows are each reported, as is every occurrence.
 Case doesn't count; a changed white space is an edit. Other columns are ignored.
 """
@@ -48,6 +49,7 @@ NOTICES = (
     ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced"),
+    ("proprietary", "All rights reserved."),
 )
 #: Production parameters: an edit is allowed for every so many characters of a notice.
 CHARACTERS_AN_EDIT = 10
@@ -71,6 +73,8 @@ class Notices:
             self.each.append((name, low, errors, regex.compile(rf"(?b)(?:{regex.escape(low)}){{e<={errors}}}")))
             for offset, piece in split(low, errors + 2):
                 seeds.setdefault(piece, []).append((i, offset))
+        # of each notice, the longer ones of its license that begin with it
+        self.longer = [{j for j, y in enumerate(self.each) if y[0] == x[0] and y[1] != x[1] and y[1].startswith(x[1])} for x in self.each]
         self.seeds = ahocorasick.Automaton()
         for piece, where in seeds.items():
             self.seeds.add_word(piece, (len(piece), where))
@@ -102,16 +106,16 @@ class Notices:
                     regions.append((i, begin, end))
                     exact = low.find(notice, begin, end)
                     while exact >= 0:
-                        found.add((0, -len(notice), exact, exact + len(notice), name))
+                        found.add((0, -len(notice), exact, exact + len(notice), name, i))
                         exact = low.find(notice, exact + len(notice), end)
                 at = to + 1
-        exacts = sorted((b, e) for _, _, b, e, _ in found)
+        exacts = sorted((b, e, k) for _, _, b, e, _, k in found)
         for i, begin, end in regions:
             name, notice, errors, pattern = self.each[i]
             least = len(notice) - errors
-            # an exact match wins over all that overlaps it; no room beside it means nothing left to find
-            for b, e in exacts:
-                if b < end and e > begin and b - begin < least and end - e < least:
+            # an exact match wins over all that overlaps it but a longer form; no room beside it means nothing left to find
+            for b, e, k in exacts:
+                if i not in self.longer[k] and b < end and e > begin and b - begin < least and end - e < least:
                     break
             else:
                 while begin < end:
@@ -119,10 +123,15 @@ class Notices:
                     if not m:
                         break
                     if m.end() > m.start():
-                        found.add((sum(m.fuzzy_counts), -len(notice), m.start(), m.end(), name))
+                        found.add((sum(m.fuzzy_counts), -len(notice), m.start(), m.end(), name, i))
                     begin = max(m.end(), begin + 1)
+        # a match that a longer form overlaps comes directly after it
+        ranked = []
+        for edits, size, begin, end, name, i in found:
+            over = [x[0] for x in found if x[5] in self.longer[i] and x[2] < end and x[3] > begin] if self.longer[i] else []
+            ranked.append((max([edits, *over]), size, begin, end, name, edits))
         kept: list[tuple] = []
-        for edits, _, begin, end, name in sorted(found):
+        for _, _, begin, end, name, edits in sorted(ranked):
             if all(end <= b or begin >= e for _, b, e, _ in kept):
                 kept.append((name, begin, end, edits))
         return sorted(kept, key=lambda x: x[1])

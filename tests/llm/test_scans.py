@@ -75,6 +75,17 @@ def test_license_tables(docs, prose):
     assert C.license_notices(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("text,want", [
+    ("x\nAll rights reserved.\ny", [("All rights reserved.", 0)]), ("(c) 2020 ann, all rights reserved", [("all rights reserved", 1)]), ("All rights rezerved. " * 2, [("All rights rezerved.", 1)] * 2),
+    ("All rights reserved. No part of this publication may be reproduced", [("All rights reserved. No part of this publication may be reproduced", 0)]),
+    ("All rights reserved. No part of this publicaton may be reproduced", [("All rights reserved. No part of this publicaton may be reproduced", 1)]), ("all rights are reversed", []),
+    ("All rights reserved. All rights reserved. No part of this publication may be copied", [("All rights reserved.", 0)] * 2),
+])
+def test_all_rights_reserved_alone(text, want):
+    got = C.notices().find(text)
+    assert [(text[b:e], edits) for _, b, e, edits in got] == want and {g[0] for g in got} <= {"proprietary"}
+
+
 def test_sequence():
     page = '<title>T</title><p>a &amp; b<figure><img src="x.png#f" alt=q><figcaption>cap <b>t</b></figcaption></figure>after<script>if(a<b){"<img src=1>"}</script><!-- <img src=no> --><video><source src=v.mp4></video><img alt="none"><a href="/l">link</a>'
     got = M.sequence(page, "https://H.com/d/", links=True)
