@@ -105,3 +105,23 @@ def test_audit_end(spark):
     assert A.verify(chain, (1, h)).count() == 0
     assert A.verify(chain, (2, "x")).count() == 1
     assert A.verify(chain.limit(0), (1, h)).count() == 1
+
+
+def test_audit_queries_chain_every_event(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from partylens.plans import analytics_queries as Q
+
+    n, seen = 30_000, []
+    spark.range(n).select(F.col("id").alias("event_id"), F.concat(F.lit("k"), F.col("id") % 7).alias("event_type"), (F.col("id") % 11).alias("user_id")).orderBy(F.rand(1)).write.parquet(f"{tmp_path}/events.parquet")
+    verify = A.verify
+    monkeypatch.setattr(A, "verify", lambda chain: seen.append(chain) or verify(chain))
+    assert Q.audit_verify(spark, str(tmp_path)).count() == 0
+    assert {tuple(r) for r in Q.audit_tamper(spark, str(tmp_path)).collect()} == {(101, "gap"), (101, "broken link"), (200, "changed body")}
+    assert [x.count() for x in seen] == [n, n - 1]
+    prev = A.GENESIS
+    for i in range(n):
+        prev = hashlib.sha256(f"{i + 1}|{prev}|k{i % 7}:{i % 11}".encode()).hexdigest()
+    assert verify(seen[0], (n, prev)).count() == 0
+    late = seen[0].withColumn("body", F.when(F.col("seq") == n - 5, "forged").otherwise(F.col("body")))
+    assert [tuple(r) for r in verify(late).collect()] == [(n - 5, "changed body")]
