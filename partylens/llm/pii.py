@@ -9,7 +9,9 @@ url        a URL with credentials before its host
 ipv4       four numbers of up to 255, not part of a longer run of digits and dots
 phone      an international number: + and 8 to 15 digits with single separators or one bracketed group
 account    a digit run of 12 to 19 (single blanks or hyphens allowed between groups of 4 or more): card,
-           if the Luhn sum holds, else account; an IBAN whose check digits hold
+           if the Luhn sum holds, else account; an IBAN whose check digits hold. Of a longer stretch of groups
+           all boundaries are tried, those of a card first, then the longest. After account, acct, routing or
+           iban a number of 6 to 19 digits
 ssn        ddd-dd-dddd outside of the ranges never issued
 secret     the value after password, token, key or secret and = or :, 6 characters or more
 
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 from partylens.llm.base import find_texts, table
 
 CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api-key", "access_key")
+ACCOUNT_CUES = ("account", "acct", "routing", "iban")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _HOST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-")
 _TOP = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
@@ -37,7 +40,10 @@ _NUMBER = frozenset("0123456789. -()+")
 _IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")
 _PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\w)")
 _SSN = re.compile(r"(?<![\w-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
-_DIGITS = re.compile(r"(?<![\w.+-])(?:\d{4,19}(?:[ -]\d{4,7}){0,4}(?:[ -]\d{1,4})?)(?![\w-]|\.\d)")
+_DIGITS = re.compile(r"(?<![\w.+-])\d+(?:[ -]\d+)*(?![\w-]|\.\d)")
+#: Group lengths of a card number that may stand beside other groups.
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
+_CUED = re.compile(r"(?<![A-Za-z0-9])(?:accounts?|accts?|routing|iban)(?![A-Za-z0-9])(?:[\s._:#=-]{0,3}(?:account|transit|numbers?|num|nos?|nr|code|id|is)(?![A-Za-z0-9])){0,3}[\s._:#='\"(-]{0,4}(\d+(?:[ -]\d+){0,18})(?![\w-]|\.\d)", re.I)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key|access_key)['\"]?\s{0,3}[:=]\s{0,3}['\"]?([^\s'\",;]{6,512})", re.I)
 _USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/@:]{1,64}:[^\s/@]{1,128}@[A-Za-z0-9.-]{1,253}(?::\d{1,5})?(?:/[^\s<>\"']{0,2000})?")
@@ -50,6 +56,8 @@ def automaton():
     found = ahocorasick.Automaton()
     for word in CUES:
         found.add_word(word, "secret")
+    for word in ACCOUNT_CUES:
+        found.add_word(word, "cue")
     found.add_word("@", "email")
     found.add_word("://", "url")
     for a in "0123456789":
@@ -101,12 +109,52 @@ def _numbers(text: str, begin: int, end: int) -> list[tuple]:
     for m in _SSN.finditer(text, begin, end):
         found.append((*m.span(), "ssn"))
     for m in _DIGITS.finditer(text, begin, end):
-        digits = re.sub(r"[ -]", "", m.group())
-        if 12 <= len(digits) <= 19:
-            found.append((*m.span(), "card" if luhn(digits) else "account"))
+        found += _accounts(text, *m.span())
     return found
 
 
+def _accounts(text: str, begin: int, end: int) -> list[tuple]:
+    """Cards and accounts in a stretch of digit groups: at each choice a card first, then the longest, then the first."""
+    groups = [m.span() for m in re.finditer(r"\d+", text[begin:end])]
+    size = [b - a for a, b in groups]
+    choices = []
+    for i, n in enumerate(size):
+        if n < 4:
+            continue
+        for j in range(i, len(size)):
+            n += size[j] if j > i else 0
+            if n > 19 or (j > i and size[j] > 7):
+                break
+            if n >= 12:
+                digits = re.sub(r"[ -]", "", text[begin + groups[i][0] : begin + groups[j][1]])
+                card = luhn(digits)
+                whole = (i, j) == (0, len(size) - 1)
+                choices.append((not (card and (whole or tuple(size[i : j + 1]) in _CARD_GROUPS)), -n, i, j, "card" if card else "account"))
+            if j > i and size[j] < 4:
+                break  # a shorter group can only be the last
+    found, taken = [], set()
+    for _, _, i, j, kind in sorted(choices):
+        if taken.isdisjoint(range(i, j + 1)):
+            taken.update(range(i, j + 1))
+            found.append((begin + groups[i][0], begin + groups[j][1], kind))
+    return found
+
+
+def _cued(text: str, begin: int, end: int) -> tuple | None:
+    """The number at ``begin`` after a cue: a card first, then the longest; with 6 digits, only groups of 4 or more go on."""
+    best, n = None, 0
+    for m in re.finditer(r"\d+", text[begin:end]):
+        size = m.end() - m.start()
+        if n + size > 19 or (n >= 6 and size < 4):
+            break
+        n += size
+        if n >= 6:
+            card = n >= 12 and luhn(re.sub(r"[ -]", "", text[begin : begin + m.end()]))
+            if card or not best or best[2] != "card":
+                best = begin, begin + m.end(), "card" if card else "account"
+    return best if best and not _SSN.fullmatch(text, best[0], best[1]) else None
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of the findings in one text, in order."""
     low = text.lower()
@@ -132,6 +180,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for m in _IBAN.finditer(text, max(0, last - 4), min(len(text), last + 44)):
                 if iban(m.group()):
                     found.append((*m.span(), "account"))
+        elif kind == "cue":
+            m = _CUED.search(text, max(0, last - 6), min(len(text), last + 100))
+            if m and m.start() <= last:
+                one = _cued(text, *m.span(1))
+                if one:
+                    found.append(one)
         elif kind == "secret":
             m = _SECRET.search(text, max(0, last - 12), min(len(text), last + 530))
             if m and m.start() <= last:

@@ -15,6 +15,23 @@ def test_kinds(text, kinds):
     assert [k for *_, k in P.find(text)] == kinds
 
 
+@pytest.mark.parametrize("text,want", [
+    ("n 4111111111111111 2027 x", [("4111111111111111", "card")]), ("4111 1111 1111 1111 2027", [("4111 1111 1111 1111", "card")]), ("4111 1111 1111 1111 12/27", [("4111 1111 1111 1111", "card")]),
+    ("2027 4111111111111111", [("4111111111111111", "card")]), ("4111111111111111 5500-0000-0000-0004", [("4111111111111111", "card"), ("5500-0000-0000-0004", "card")]),
+    ("1234 5678 9012 3456 78", [("1234 5678 9012 3456 78", "account")]), ("4111111111111112 4111111111111113", [("4111111111111112", "account"), ("4111111111111113", "account")]),
+    ("1" * 20, []), ("2024 12345678", []), ("account no. 12345678", [("12345678", "account")]), ("Acct #: 123456 on", [("123456", "account")]), ("routing number 021000021,", [("021000021", "account")]), ("account_id=12-34-56 12345678", [("12-34-56 12345678", "account")]),
+    ("iban 123456789", [("123456789", "account")]), ("IBAN DE89 3704 0044 0532 0130 00", [("DE89 3704 0044 0532 0130 00", "account")]), ("account 12345", []), ("accountant 12345678", []), ("account 4111 1111 1111 1111 12/27", [("4111 1111 1111 1111", "card")]),
+    ("account 123-45-6789", [("123-45-6789", "ssn")]), ("account 10.0.0.1", [("10.0.0.1", "ipv4")]), ("my account since 2024", []), ("account 12345678 3 times", [("12345678", "account")]),
+])
+def test_numbers_in_groups_and_after_cues(text, want):
+    assert [(text[b:e], k) for b, e, k in P.find(text)] == want
+
+
+def test_long_digit_groups_are_quick():
+    for text in ("1234 " * 60_000, "1-" * 100_000, "account " * 40_000, "account 1234" * 20_000, "12345678 1 " * 20_000):
+        P.find(text)
+
+
 def test_spans_and_redaction():
     text = "İ mail a@b.org and a@b.org"
     assert [text[b:e] for b, e, _ in P.find(text)] == ["a@b.org"] * 2
