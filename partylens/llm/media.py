@@ -4,7 +4,7 @@ A tokeniser reads the HTML: tags with quoted or bare attributes, comments, decla
 and style (skipped), character references. What is left is an ordered list of items: text between media, and
 media references (img, picture and video sources, audio, video, iframe, embed, object, and data: URLs), each
 with its resolved URL, the digest of that URL (SHA-256, without its fragment), alternative text and the
-caption of its figure. Links between pages can be taken as references too. Payloads are joined by digest,
+caption of its figure, before or after it. Links between pages can be taken as references too. Payloads are joined by digest,
 each item keeping its position; an item without a payload stays, with a null payload.
 
 Defined results: null and empty pages give an empty sequence; text outside of tags counts as text; unclosed
@@ -63,7 +63,7 @@ def sequence(page: str, base: str = "", links: bool = False) -> list[dict]:
     """The ordered items of one page."""
     items: list[dict] = []
     text: list[str] = []
-    figure: list[dict] | None = None  # references of the open figure
+    figures: list[tuple[list[dict], list[str]]] = []  # references and captions of the open figures, the innermost last
     caption: list[str] | None = None
     at = 0
 
@@ -79,6 +79,19 @@ def sequence(page: str, base: str = "", links: bool = False) -> list[dict]:
             if caption is not None:
                 caption.append(piece)
 
+    def end_caption():
+        nonlocal caption
+        told = _SPACE.sub(" ", entities.unescape("".join(caption or ()))).strip()
+        if told and figures:
+            figures[-1][1].append(told)
+        caption = None
+
+    def end_figure():
+        end_caption()
+        own, told = figures.pop()
+        for one in own:
+            one["caption"] = " ".join(told) or None
+
     while True:
         m = _TOKEN.search(page, at)
         words(page[at : m.start() if m else len(page)])
@@ -95,15 +108,15 @@ def sequence(page: str, base: str = "", links: bool = False) -> list[dict]:
         if tag in _BLOCK:
             words("\n")
         if tag == "figure":
-            figure = None if m[1] else []
+            if not m[1]:
+                end_caption()
+                figures.append(([], []))
+            elif figures:
+                end_figure()
         elif tag == "figcaption":
+            end_caption()
             if not m[1]:
                 caption = []
-            elif caption is not None:
-                told = _SPACE.sub(" ", entities.unescape("".join(caption))).strip()
-                for one in figure or ():
-                    one["caption"] = told or None
-                caption = None
         if m[1]:
             continue
         where, kind = MEDIA.get(tag, ((), ""))
@@ -118,8 +131,10 @@ def sequence(page: str, base: str = "", links: bool = False) -> list[dict]:
                 flush()
                 full = resolve(base, url)
                 items.append({"kind": kind, "text": None, "url": full, "alt": has.get("alt") or None, "caption": None})
-                if figure is not None:
-                    figure.append(items[-1])
+                if figures:
+                    figures[-1][0].append(items[-1])
+    while figures:
+        end_figure()
     flush()
     for position, item in enumerate(items):
         item["position"] = position

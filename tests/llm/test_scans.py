@@ -110,6 +110,16 @@ def test_sequence():
     assert got[1]["caption"] == "cap t" and got[1]["alt"] == "q" and [x["position"] for x in got] == list(range(6))
 
 
+@pytest.mark.parametrize("page,captions", [
+    ("<figure><figcaption>c &amp; d</figcaption><img src=1></figure><img src=2>", ["c & d", None]), ("<figure><img src=1><figcaption>c</figcaption><img src=2></figure>", ["c", "c"]),
+    ("<figure><img src=1></figure><figure><figcaption>d</figcaption><img src=2></figure>", [None, "d"]), ("<figure><figcaption>c</figcaption><img src=1>", ["c"]), ("<figure><img src=1><figcaption>c", ["c"]),
+    ("<figure><figcaption>out</figcaption><figure><img src=1><figcaption>in</figcaption></figure><img src=2></figure>", ["in", "out"]), ("<figure><figcaption> </figcaption><img src=1></figure>", [None]),
+    ("</figure><figcaption>c</figcaption><img src=1>", [None]),
+])
+def test_captions_wherever_they_stand(page, captions):
+    assert [x["caption"] for x in M.sequence(page) if x["url"]] == captions
+
+
 @pytest.mark.parametrize("page,texts", [("", []), ("plain", ["plain"]), ("<p", []), ("a<!-- b", ["a"]), ("a < b > c", ["a < b > c"]), ("<script>x", []), ('<img src="">t', ["t"]), ("<b>x</b>y", ["xy"]), ("<p>x</p>y", ["x y"])])
 def test_broken_pages(page, texts):
     assert [x["text"] for x in M.sequence(page)] == texts
