@@ -49,6 +49,14 @@ def test_stages(spark, folder):
         assert df.columns == C.COLUMNS
 
 
+def test_short_repeated_lines_go(spark):
+    menu = "\n".join(f"w{i}" for i in range(60))
+    rows = [(1, "first\n" + menu + "\nend"), (2, "other\n" + menu + "\nlast")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in C.line_dedup(spark, docs, "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("other\nlast", 10)}
+
+
 def test_run(spark, folder):
     out = C.run(spark, folder)
     got = {r["doc_id"] for r in out.collect()}
