@@ -28,7 +28,9 @@ from partylens.llm import textvec
 from partylens.llm.base import fresh, map_texts, runs, table
 
 #: Production parameters.
-MAX_LABELLED, WINDOW, STRIDE, STEPS, BATCH = 4000, 40, 32, 320, 160
+MAX_LABELLED, WINDOW, STRIDE, STEPS, BATCH = 4000, 40, 20, 320, 160
+#: Training picks from windows further apart; what is scored overlaps by half, so that phrases of 21 words lie whole in a window.
+TRAINING_STRIDE = 32
 WORDS, GRAMS, DW, DC, H, A = 1 << 14, 1 << 15, 8, 8, 6, 6
 _BLOCK = 4096
 _START = np.uint64(0x5851F42D4C957F2D)
@@ -283,7 +285,7 @@ def _associations(t: Types, bounds: np.ndarray, y: np.ndarray, block: int = 100)
     return np.maximum(of_word, np.maximum.reduceat(of_gram[t.gram], t.gram_from[:-1]))
 
 
-def train(texts: list[str], labels: list[int], window: int = WINDOW, stride: int = STRIDE, steps: int = STEPS, seed: int = 7) -> Model | None:
+def train(texts: list[str], labels: list[int], window: int = WINDOW, stride: int = TRAINING_STRIDE, steps: int = STEPS, seed: int = 7) -> Model | None:
     """Fits the network; the last fifth of the documents is held out. None if either part lacks a class."""
     y = np.array(labels, np.int64)
     cut = len(y) - len(y) // 5
@@ -347,7 +349,7 @@ def train(texts: list[str], labels: list[int], window: int = WINDOW, stride: int
             if k == "bo":
                 state[k] = [m, s] = [np.float32(m), np.float32(s)]
             p[k] = (p[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    model = Model(p, window=window, stride=stride)
+    model = Model(p, window=window, stride=max(1, window // 2))
     held = np.array(score(texts[cut:], model)["score"])
     truth = y[cut:]
     if 0 < truth.sum() < len(truth):

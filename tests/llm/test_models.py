@@ -52,6 +52,13 @@ def test_every_window_counts(model, prose):
     assert min(scores) > X.score([" ".join(long)], model)["score"][0]
 
 
+def test_phrases_lie_whole_in_a_window():
+    for words in (21, 40, 41, 60, 137):
+        first, size, _ = X.windows(np.array([0, words]), X.WINDOW, X.STRIDE)
+        for at in range(words - 20):
+            assert ((first <= at) & (at + 21 <= first + size)).any()
+
+
 def test_scores_dont_depend_on_neighbours(model, prose):
     texts, _ = sample(prose, 12, 50)
     together = X.score([*texts, "", "..."], model)["score"]
