@@ -153,7 +153,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs)
         if pairs.isEmpty():
-            break
+            if labels is None:
+                break
+            continue  # the second centres may be the first ones while other members haven't met
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = scratch.save(verified(estimated(pairs, kept, k, least), texts, shingle, threshold))
         edges = found if edges is None else edges.unionByName(found)

@@ -52,6 +52,18 @@ def test_groups_agree_with_brute_force(spark, docs, prose):
     assert not got - want
 
 
+def test_members_meet_where_both_turns_have_one_centre(spark, docs):
+    from pyspark.sql import functions as F
+
+    rank = spark.range(60).select("id", F.xxhash64("id", F.lit("first")).alias("x"), F.xxhash64("id", F.lit("second")).alias("y")).collect()
+    a = next(r for r in rank if sum(r["x"] < o["x"] and r["y"] < o["y"] for o in rank) >= 2)
+    b, c = [o["id"] for o in rank if a["x"] < o["x"] and a["y"] < o["y"]][:2]
+    common = " ".join(f"w{i}" for i in range(29))
+    more = lambda p, n: common + "".join(f" {p}{i}" for i in range(n))
+    rows = [(a["id"], more("a", 19)), (b, more("b", 18)), (c, common)]  # of these only b and c are near
+    assert {tuple(r) for r in N.near_duplicates(docs(rows)).collect()} == brute(rows) == {(b, min(b, c)), (c, min(b, c))}
+
+
 def test_hard_rows(spark, docs, prose):
     text = prose(1, 80)
     rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (5, "  \n"), (6, "one"), (7, "one"), (None, text), (None, None), (8, prose(2, 30000)), (9, prose(2, 30000) + " more")]
