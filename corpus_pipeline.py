@@ -24,10 +24,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of any length count; n_chars follows the text."""
+    """Later copies of passages are cut; n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    return dedup_lines(docs, least=0).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
