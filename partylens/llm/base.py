@@ -37,23 +37,27 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        self.kept: list[tuple[DataFrame, str]] = []  # the frames themselves, as the id of one that is gone may come again
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.kept.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path:
-                jvm = self.spark.sparkContext._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        """Deletes the tables of these frames; others and None are passed over."""
+        for path in [p for f, p in self.kept if any(f is x for x in frames)]:
+            jvm = self.spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        self.kept = [(f, p) for f, p in self.kept if not any(f is x for x in frames)]
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Deletes all tables but these frames'."""
+        self.drop(*[f for f, _ in self.kept if not any(f is x for x in frames)])
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partylens.llm.base import Scratch
@@ -13,22 +13,18 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
 
     Alternating large-star and small-star steps: each is one or two shuffles of the edge table, and the
     number of rounds grows with the logarithm of the longest path. Nulls and self-loops are ignored.
-    Every round is written to the shared folder, so lineage stays short and survives a lost executor.
+    Every round is written to the shared folder, so lineage stays short and survives a lost executor. The least
+    neighbour is an aggregate joined back, so the many edges of a hub don't meet in one task.
     """
     now = scratch.save(
         edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
     seen = None
-    by_u = Window.partitionBy("u")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.withColumn("m", F.least(F.min("v").over(by_u), F.col("u")))
-            .filter("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        small = large.withColumn("m", F.min("v").over(by_u))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         after = scratch.save(
             small.select("u", F.col("m").alias("v"))
             .unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 
@@ -14,8 +15,14 @@ def changed(text, share, seed):
     return " ".join(w if r.random() > share else "zz" + str(r.randint(0, 999)) for w in text.split(" "))
 
 
+def shingle_set(text, k=N.SHINGLE):
+    """Word shingles as tuples, by a pattern of its own."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
 def brute(rows, threshold=N.THRESHOLD):
-    sets = {i: s for (i, _), s in zip(rows, N.sets([t or "" for _, t in rows], N.SHINGLE))}
+    sets = {i: shingle_set(t) for i, t in rows}
     root = {i: i for i in sets}
 
     def top(i):
@@ -24,7 +31,7 @@ def brute(rows, threshold=N.THRESHOLD):
         return i
 
     for a, b in itertools.combinations(sets, 2):
-        both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+        both = len(sets[a] & sets[b])
         if both and both / (len(sets[a]) + len(sets[b]) - both) >= threshold:
             x, y = sorted((top(a), top(b)))
             root[y] = x
@@ -64,6 +71,28 @@ def test_members_meet_where_both_turns_have_one_centre(spark, docs):
     assert {tuple(r) for r in N.near_duplicates(docs(rows)).collect()} == brute(rows) == {(b, min(b, c)), (c, min(b, c))}
 
 
+@pytest.mark.parametrize("share", [0.5, 0.68])
+def test_pages_of_one_template(docs, prose, share):
+    """Pages that share a template are apart, but for those whose own part is shared too."""
+    template, rows = prose(7000, int(200 * share)), []
+    for j in range(60):
+        own = prose(8000 + j // 3 if j % 3 < 2 else 9000 + j, 200 - int(200 * share))
+        rows.append((j, template + "\n" + (own if j % 3 != 1 else changed(own, 0.02, j))))
+    got = {tuple(r) for r in N.near_duplicates(docs(rows), all_pairs=4).collect()}
+    assert got == brute(rows) and len(got) >= 30
+
+
+def test_few_pairs_of_a_template_with_many_pages(spark, docs, prose):
+    """20,000 members of a list that are all apart: the pairs that meet grow with the pages, not their square."""
+    template = prose(7001, 60)
+    words = [prose(k, 400).split() for k in range(50)]
+    rows = [(j, template + " " + " ".join(random.Random(j).choices(words[j % 50], k=34))) for j in range(20_000)]
+    texts = docs(rows).selectExpr("doc_id node", "text")
+    apart = spark.createDataFrame([(i, i) for i, _ in rows], "node long, label long")
+    pairs = N.first_shingles(apart, texts, N.SHINGLE, N.THRESHOLD, Scratch(spark))
+    assert pairs.count() < 20 * len(rows)
+
+
 def test_hard_rows(spark, docs, prose):
     text = prose(1, 80)
     rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (5, "  \n"), (6, "one"), (7, "one"), (None, text), (None, None), (8, prose(2, 30000)), (9, prose(2, 30000) + " more")]
