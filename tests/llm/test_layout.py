@@ -71,27 +71,28 @@ def test_shards(docs, prose, per_cell, on_driver):
 
 
 def brute(rows, items, threshold):
-    """Exact similarities of every window to every item, without fingerprints."""
+    """Exact similarities of every window to every item from word tuples, without hashes or fingerprints."""
+    import math
+    import re
+
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    pairs = lambda w: [tuple(w[i : i + 2]) for i in range(len(w) - 1)] or [tuple(w)] * bool(w)
+    texts = [(i, words(t)) for i, t in rows]
+    frequency = {}
+    for _, w in texts:
+        for s in set(pairs(w)):
+            frequency[s] = frequency.get(s, 0) + 1
+    weight = lambda ss: sum(math.log((len(rows) + 1) / (frequency.get(s, 0) + 1)) + 0.01 for s in ss)
     found = {}
-    it = D.Items([i for i, _ in items], [t for _, t in items], D.SHINGLE)
-    from partylens.llm import textvec as V
-
-    hs = []
-    frequency = np.zeros(len(it.known))
-    for _, t in rows:
-        h, _b = V.shingles(V.words(V.codes([t or ""])), D.SHINGLE)
-        hs.append(h)
-        frequency[np.unique(it.find(h)[1])] += 1
-    it.weigh(len(rows), frequency)
-    for (i, t), h in zip(rows, hs):
-        words = len(V.words(V.codes([t or ""])).hash)
-        for j, s in enumerate(it.sets):
-            size = min(len(h), max(1, min(int(it.length[j]), words) - D.SHINGLE + 1))
-            for a in range(len(h) - size + 1 if size else 0):
-                both = np.intersect1d(h[a : a + size], s)
-                score = it.weight[np.searchsorted(it.known, both)].sum() / it.total[j]
+    for j, t in items:
+        item = words(t)
+        own = set(pairs(item))
+        for i, w in texts:
+            size = min(len(item), len(w))
+            for a in range(len(w) - size + 1 if size and own else 0):
+                score = weight(own & set(pairs(w[a : a + size]))) / weight(own)
                 if score >= threshold - 1e-9:
-                    found[(i, it.ids[j])] = max(found.get((i, it.ids[j]), 0), score)
+                    found[(i, j)] = max(found.get((i, j), 0), score)
     return found
 
 
@@ -126,11 +127,23 @@ def test_hard_contamination(spark, docs, prose):
     assert D.contaminated(docs(rows), bench.limit(0)).count() == 0 and D.contaminated(docs([]), bench).count() == 0
 
 
-def test_radius_is_guaranteed():
-    rng = np.random.default_rng(2)
-    near = np.array([[bin(a ^ b).count("1") <= 2 for b in range(256)] for a in range(256)])
-    for _ in range(500):
-        a = rng.integers(0, 256, 8, dtype=np.uint8)
-        flips = rng.choice(64, D.RADIUS, replace=False)
-        b = np.packbits(np.unpackbits(a) ^ np.isin(np.arange(64), flips))
-        assert near[a, b].any()
+@pytest.mark.parametrize("radius", [2, 7, D.RADIUS])
+@pytest.mark.parametrize("n", [1, 300, 5000])  # few values are compared, many looked up
+def test_the_index_finds_all_within_the_radius(n, radius):
+    rng = np.random.default_rng(n)
+    prints = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    found = prints[rng.integers(0, n, 60)].copy()
+    for k in range(len(found)):
+        for bit in rng.choice(64, k % 24, replace=False):
+            found[k] ^= np.uint64(1) << np.uint64(bit)
+    distance = np.bitwise_count(found[:, None] ^ prints[None])
+    row, item, near = D.MultiIndex(prints, radius).near(found)
+    assert list(zip(row, item)) == list(zip(*np.nonzero(distance <= radius))) and (near == distance[row, item]).all()
+
+
+def test_a_long_text_of_many_items(spark, docs, prose):
+    items = [(k, prose(600 + k, 20)) for k in range(300)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, " ".join(t for _, t in items * 20)), (2, prose(1, 50))]
+    got = D.contaminated(docs(rows), bench, slice_items=40).collect()
+    assert sorted(r["item_id"] for r in got) == list(range(300)) and {r["similarity"] for r in got} == {1.0}
