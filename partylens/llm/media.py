@@ -4,8 +4,13 @@ A tokeniser reads the HTML: tags with quoted or bare attributes, comments, decla
 and style (skipped), character references. What is left is an ordered list of items: text between media, and
 media references (img, picture and video sources, audio, video, iframe, embed, object, and data: URLs), each
 with its resolved URL, the digest of that URL (SHA-256, without its fragment), alternative text and the
-caption of its figure, before or after it. Links between pages can be taken as references too. Payloads are joined by digest,
-each item keeping its position; an item without a payload stays, with a null payload.
+caption of its figure, before or after it. A tag's URLs are a reference each, in the order source, lazy source,
+candidates of srcset, poster; one that repeats within the tag counts once. What stands in noscript and template
+is read as well, as fallback images do. Links between pages can be taken as references too. Payloads, of any
+type, are joined by digest, each item keeping its position; an item without a payload stays, with a null payload.
+
+Pages are parsed once, into a table in the shared folder, and so are the payloads that are referred to; a
+reference that a third of all pages share, as a logo, is a skewed key of a join of tables, which may be split.
 
 Defined results: null and empty pages give an empty sequence; text outside of tags counts as text; unclosed
 tags, comments and raw text end with the page. A reference without a URL is dropped. A repeated page is
@@ -30,10 +35,24 @@ from partylens.llm.base import RUN_CHARS, Scratch, table
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
-_RAW = {"script", "style", "noscript", "template"}
+_RAW = {"script", "style"}
 _BLOCK = {"p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "title", "figure", "figcaption", "blockquote", "pre", "hr"}
-#: Tag to the attributes that hold its URL, in order, and the kind of media.
-MEDIA = {"img": (("src", "data-src"), "image"), "source": (("src", "srcset"), "source"), "video": (("src", "poster"), "video"), "audio": (("src",), "audio"), "iframe": (("src",), "frame"), "embed": (("src",), "embed"), "object": (("data",), "object"), "image": (("href", "xlink:href"), "image")}
+#: Tag to the attributes that hold its URLs, in order, and the kind of media.
+_IMAGE = ("src", "data-src", "srcset", "data-srcset")
+MEDIA = {"img": (_IMAGE, "image"), "source": (("src", "data-src", "srcset", "data-srcset"), "source"), "video": (("src", "poster"), "video"), "audio": (("src",), "audio"), "iframe": (("src",), "frame"), "embed": (("src",), "embed"), "object": (("data",), "object"), "image": (("href", "xlink:href"), "image")}
+#: A candidate of srcset: a URL without blanks, then what tells its size; a comma at the URL's end ends the candidate.
+_CANDIDATE = re.compile(r"[\s,]*(\S*[^\s,])(?:,|(?:\s+[^,(]*(?:\([^)]*\)[^,(]*)*)?(?:,|\Z))")
+
+
+def urls_of(tag: dict[str, str], where: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(attribute, URL) of a tag's attributes, each URL once."""
+    found: dict[str, str] = {}
+    for name in where:
+        value = tag.get(name, "").strip()
+        for url in [m[1] for m in _CANDIDATE.finditer(value)] if name.endswith("srcset") else [value]:
+            if url:
+                found.setdefault(url, name)
+    return [(name, url) for url, name in found.items()]
 
 
 def resolve(base: str, url: str) -> str:
@@ -124,13 +143,9 @@ def sequence(page: str, base: str = "", links: bool = False) -> list[dict]:
             where, kind = ("href",), "link"
         if where:
             has = _attributes(m[3])
-            url = next((has[w] for w in where if has.get(w, "").strip()), "")
-            if "srcset" in where and url == has.get("srcset"):
-                url = url.split(",")[0].split()[0]
-            if url:
+            for name, url in urls_of(has, where):
                 flush()
-                full = resolve(base, url)
-                items.append({"kind": kind, "text": None, "url": full, "alt": has.get("alt") or None, "caption": None})
+                items.append({"kind": "image" if name == "poster" else kind, "text": None, "url": resolve(base, url), "alt": has.get("alt") or None, "caption": None})
                 if figures:
                     figures[-1][0].append(items[-1])
     while figures:
@@ -157,41 +172,43 @@ def sequences(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str, links: bool) -> DataFrame:
-    """``sequences`` with a hash of the page as row: rows that share it have the same items."""
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("page_id", pages.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("items", T.ArrayType(ITEM))])
+    """(page_id, url, items) without digests."""
+    schema = T.StructType([T.StructField("page_id", pages.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("items", T.ArrayType(ITEM))])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(T.ArrayType(ITEM))
         for batch in batches:
-            urls, pages_ = (batch.column(i).to_pylist() for i in (2, 3))
+            urls, pages_ = (batch.column(i).to_pylist() for i in (1, 2))
             begin, size, found = 0, 0, []
             for i, (url, page) in enumerate(zip(urls, pages_)):
                 found.append(sequence(page or "", url or "", links))
                 size += len(page or "")
                 if size > RUN_CHARS or i + 1 == batch.num_rows:
-                    own = [batch.column(k).slice(begin, len(found)) for k in range(3)]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(found, type=kind)], ["row", "page_id", "url", "items"])
+                    own = [batch.column(k).slice(begin, len(found)) for k in range(2)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(found, type=kind)], ["page_id", "url", "items"])
                     begin, size, found = i + 1, 0, []
 
-    row = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col)).alias("row")
-    return pages.select(row, F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(run, schema)
+    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(run, schema)
 
 
 def interleaved(pages: DataFrame, payloads: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", links: bool = False) -> DataFrame:
     """(page_id, url, items): as ``sequences``, each item with its payload, from (digest, payload)."""
-    parsed = _parsed(pages, id_col, url_col, html_col, links)
-    one = payloads.filter("digest is not null").groupBy(F.unhex("digest").alias("digest")).agg(F.min("payload").alias("payload"))
-    # only references go through this shuffle, and only those with a payload come back
+    scratch = Scratch(pages.sparkSession)
+    parsed = scratch.save(_parsed(pages, id_col, url_col, html_col, links).withColumn("row", F.monotonically_increasing_id()))
+    # only references go through these shuffles, and only those with a payload come back
     wanted = parsed.select("row", F.explode("items").alias("item")).filter("item.url is not null").select("row", "item.position", F.unhex(F.sha2("item.url", 256)).alias("digest"))
-    met = wanted.join(one, "digest").dropDuplicates(["row", "position"])
-    found = met.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", "payload"))).alias("payloads"))
+    wanted = scratch.save(wanted)
+    one = payloads.filter("digest is not null").select(F.unhex("digest").alias("digest"), "payload").join(wanted.select("digest").distinct(), "digest", "left_semi")
+    one = scratch.save(one.groupBy("digest").agg(F.min("payload").alias("payload")))
+    found = wanted.join(one, "digest").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", "payload"))).alias("payloads"))
     # as a written table its size is known when the join is planned: if it is small it is broadcast, and no page is shuffled
-    found = Scratch(pages.sparkSession).save(found)
+    found = scratch.save(found)
     joined = parsed.join(found, "row", "left")
     kind = payloads.schema["payload"].dataType
     with_payload = F.transform("items", lambda x: with_digest(x).withField("payload", F.coalesce(F.element_at(F.col("payloads"), x["position"]), F.lit(None).cast(kind))))
+    scratch.drop(wanted, one)
     return joined.select("page_id", "url", with_payload.alias("items"))
 
 

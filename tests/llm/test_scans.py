@@ -176,6 +176,82 @@ def test_sequence():
     assert got[1]["caption"] == "cap t" and got[1]["alt"] == "q" and [x["position"] for x in got] == list(range(6))
 
 
+@pytest.mark.parametrize("page,urls", [
+    ('<img src=a.png srcset="b.png 1x, c.png 2x">', ["a.png", "b.png", "c.png"]), ('<img srcset="a.png 100w,b.png 200w, a.png 3x">', ["a.png", "b.png"]), ('<video src=v.mp4 poster=p.png>', ["v.mp4", "p.png"]), ('<img data-src=l.png src=s.png>', ["s.png", "l.png"]),
+    ('<img src=x data-srcset="y, z">', ["x", "y", "z"]), ('<img data-src=l.png><noscript><img src=n.png></noscript>', ["l.png", "n.png"]), ('<template><img src=t.png></template>', ["t.png"]), ('<img srcset=" ,a.png ,">', ["a.png"]), ('<script><img src=no></script>', []),
+    ('<img srcset="a.png?x=1,2 1x, b.png">', ["a.png?x=1,2", "b.png"]), ('<picture><source srcset="s.webp 1x"><img src=i.png></picture>', ["s.webp", "i.png"]),
+])
+def test_all_urls_of_a_tag(page, urls):
+    assert [x["url"] for x in M.sequence(page) if x["url"]] == urls
+
+
+def by_parser(page, base):
+    """Texts and references in order, by the standard library's parser."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    out, text = [], []
+
+    class Reader(HTMLParser):
+        def flush(self):
+            joined = " ".join("".join(text).split())
+            text.clear()
+            if joined:
+                out.append(("text", joined))
+
+        def handle_starttag(self, tag, attrs):
+            if tag in M._BLOCK:
+                text.append("\n")
+            if tag == "img" and dict(attrs).get("src"):
+                self.flush()
+                out.append(("image", urljoin(base, dict(attrs)["src"])))
+            if tag == "a" and dict(attrs).get("href"):
+                self.flush()
+                out.append(("link", urljoin(base, dict(attrs)["href"])))
+
+        def handle_endtag(self, tag):
+            if tag in M._BLOCK:
+                text.append("\n")
+
+        def handle_data(self, data):
+            if self.cdata_elem is None:
+                text.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    return out
+
+
+def test_sequences_agree_with_the_standard_parser(data):
+    import random
+
+    import pyarrow.parquet as pq
+
+    pages = [(r["html"], r["url"]) for r in pq.read_table(f"{data}/pages.parquet").to_pylist() if r["html"]]
+    r = random.Random(8)
+    pieces = ["<p>", "</p>", "word ", "&amp;", "&eacute;t ", "<img src='a b.png' alt=x>", '<img src="/c.png">', "<br/>", "<b>", "</b>", "<a href=/l>", "</a>", "<div class='q>r'>", "</div>", "<!-- <img src=no> -->", "<script>if (a < b) {}</script>", "two  words\n", "<title>T</title>"]
+    pages += [("".join(r.choice(pieces) for _ in range(r.randint(0, 30))), "http://h.com/d/e") for _ in range(300)]
+    for page, url in pages:
+        got = [(x["kind"], x["text"] or x["url"]) for x in M.sequence(page, url, links=True)]
+        assert got == [(k, M.resolve("", v) if k != "text" else v) for k, v in by_parser(page, url)], page[:300]
+
+
+def test_payloads_of_media_keep_their_places(spark):
+    """Binary payloads for images that many pages share, against a join by hand."""
+    import random
+
+    r = random.Random(2)
+    body = {f"http://m.com/{k}.png": bytes([k, 255, 0]) * (k + 1) for k in range(20)}
+    rows = [(i, f"http://p.com/{i}", "".join(f"<p>t{j}</p><img src=//m.com/{r.choice([0, 0, 0, r.randrange(30)])}.png>" for j in range(r.randint(0, 9)))) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pay = spark.createDataFrame([(M.digest(u), b) for u, b in body.items()], "digest string, payload binary")
+    got = {x["page_id"]: [(i["position"], i["url"], i["payload"] and bytes(i["payload"])) for i in x["items"]] for x in M.interleaved(pages, pay).collect()}
+    for i, url, page in rows:
+        assert got[i] == [(x["position"], x["url"], body.get(x["url"])) for x in M.sequence(page, url)]
+
+
 @pytest.mark.parametrize("page,captions", [
     ("<figure><figcaption>c &amp; d</figcaption><img src=1></figure><img src=2>", ["c & d", None]), ("<figure><img src=1><figcaption>c</figcaption><img src=2></figure>", ["c", "c"]),
     ("<figure><img src=1></figure><figure><figcaption>d</figcaption><img src=2></figure>", [None, "d"]), ("<figure><figcaption>c</figcaption><img src=1>", ["c"]), ("<figure><img src=1><figcaption>c", ["c"]),
