@@ -31,7 +31,9 @@ from partylens.llm.base import Scratch, map_texts, table
 #: Production parameters. The pattern is the public one of this vocabulary family; pieces() implements it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONGEST, BUCKETS, BUDGET, SHARES = 2048, 8, 65_536, 256
+LONGEST, BUCKETS, BUDGET = 2048, 8, 65_536
+#: A bucket's rows are numbered in so many shares: one for this many parts, within bounds.
+PARTS_A_SHARE, LEAST_SHARES, MOST_SHARES = 1_000_000, 256, 65_536
 _END = 9
 
 
@@ -133,7 +135,7 @@ def best_bounds(length: np.ndarray, count: np.ndarray, buckets: int) -> tuple[li
     return bounds[::-1], int(best[n])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET, shares: int = SHARES) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, part, begin_token, n_tokens, bucket, bucket_length, batch): one row for each part of each row."""
 
     def make():
@@ -142,23 +144,25 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    counted = map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", make, [T.StructField("tokens", T.LongType())]).drop("text")
+    counted = map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", make, [T.StructField("tokens", T.LongType())])
+    # the text counts too, so that rows that share an id are spread
+    counted = counted.withColumn("spread", F.xxhash64("doc_id", "text")).drop("text")
     last = F.greatest(F.ceil(F.col("tokens") / longest), F.lit(1)) - 1
     parts = scratch.save(
         counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
         .withColumn("begin_token", F.col("part") * longest)
         .withColumn("n_tokens", F.least(F.col("tokens") - F.col("begin_token"), F.lit(longest)))
-        .withColumn("share", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shares)))
         .drop("tokens")
     )
     histogram = sorted((r["n_tokens"], r["n"]) for r in parts.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())
     bounds, _ = best_bounds(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), buckets)
+    shares = min(MOST_SHARES, max(LEAST_SHARES, sum(r[1] for r in histogram) // PARTS_A_SHARE))
     bucket = sum((F.when(F.col("n_tokens") > b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
     bucket_length, fits = F.lit(0), F.lit(1)
     for k, b in enumerate(bounds):
         bucket_length = F.when(F.col("bucket") == k, b).otherwise(bucket_length)
         fits = F.when(F.col("bucket") == k, max(1, budget // max(1, b))).otherwise(fits)
-    placed = parts.withColumn("bucket", bucket.cast("int")).withColumn("bucket_length", bucket_length.cast("long"))
+    placed = parts.withColumn("bucket", bucket.cast("int")).withColumn("bucket_length", bucket_length.cast("long")).withColumn("share", F.pmod(F.xxhash64("spread", "part"), F.lit(shares)))
     # at most buckets x shares rows
     before = placed.groupBy("bucket", "share").agg(F.count("*").alias("n")).withColumn("offset", F.sum("n").over(Window.partitionBy("bucket").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)))
     own = F.row_number().over(Window.partitionBy("bucket", "share").orderBy("doc_id", "part", "n_tokens"))
