@@ -7,11 +7,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts are taken in runs of about so many characters, so that a worker's arrays stay small.
 RUN_CHARS = 1_000_000
+#: Samples of labelled texts that train a model hold at most so many characters.
+SAMPLE_CHARS = 100_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +63,16 @@ class Scratch:
         self.drop(*[f for f, _ in self.kept if not any(f is x for x in frames)])
 
 
+def bounded(rows: DataFrame, text: str, order: list[str], most: int = SAMPLE_CHARS) -> DataFrame:
+    """Of a sample of a bounded number of rows the first by ``order`` that hold at most ``most`` characters together.
+
+    Texts of over a hundredth of that are left out of the sample.
+    """
+    size, so_far = fresh(rows, "size"), fresh(rows, "so_far")
+    sized = rows.withColumn(size, F.coalesce(F.length(text), F.lit(0))).filter(F.col(size) <= most // 100)
+    return sized.withColumn(so_far, F.sum(size).over(Window.orderBy(*order))).filter(F.col(so_far) <= most).drop(size, so_far)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -4,7 +4,8 @@ Features are character n-grams (1 to 3 characters, lower case, all but letters a
 buckets, weighted by sublinear term frequency and inverse document frequency and scaled to length 1.
 Document frequencies are counted over all documents. The model is trained with follow the regularised
 leader (per-coordinate rates, elastic-net penalty: most weights are exactly 0) on a bounded sample of
-labelled rows (``max_labelled``, least hashes first); a fifth of it is held out to calibrate a temperature.
+distinct labelled rows (``max_labelled``, least hashes first, so that copies take no places, and SAMPLE_CHARS
+characters); a fifth of it is held out to calibrate a temperature.
 
 Defined results: every row is kept, in (doc_id, lang, confidence). A text without letters, null or empty,
 has null as its language and confidence 0. Rows without a label aren't trained on. Without any label all
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partylens.llm import textvec
-from partylens.llm.base import map_texts, runs, table
+from partylens.llm.base import bounded, map_texts, runs, table
 
 #: Production parameters.
 BUCKETS, MAX_LABELLED, EPOCHS = 1 << 14, 4000, 3
@@ -150,12 +151,13 @@ def document_frequencies(docs: DataFrame, text_col: str, buckets: int = BUCKETS)
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS) -> Model | None:
     idf = document_frequencies(docs, text_col, buckets)
     labelled = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).filter("text is not null and label is not null and trim(label) <> ''")
-    # hashes of all labelled rows choose the sample; only the chosen texts leave the executors
+    # hashes of all distinct labelled rows choose the sample; only the chosen texts leave the executors
     order = F.xxhash64("text", "label")
-    edge = labelled.select(order.alias("h")).orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
+    edge = labelled.select(order.alias("h")).distinct().orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
     if edge is None:
         return None
-    rows = labelled.withColumn("h", order).filter(F.col("h") <= F.lit(edge)).dropDuplicates(["text", "label"]).collect()
+    rows = labelled.withColumn("h", order).filter(F.col("h") <= F.lit(edge)).dropDuplicates(["text", "label"])
+    rows = bounded(rows, "text", ["h", "text", "label"]).collect()
     rows = sorted(rows, key=lambda r: (r["h"], r["text"], r["label"]))
     return train([r["text"] for r in rows], [r["label"] for r in rows], idf)
 

@@ -6,7 +6,7 @@ read a window of words forwards and backwards, attention pools their states, and
 the window. Windows overlap and cover the whole text; a document's score is its worst window's.
 
 Training is in numpy on a bounded sample of labelled documents (``max_labelled``, half of them toxic at
-most, least hashed ids first). Labels are for documents, windows are scored: of a toxic document the
+most, least hashed ids first, and SAMPLE_CHARS characters). Labels are for documents, windows are scored: of a toxic document the
 windows with the strongest association to the label stand for it, of a clean one its strongest and some
 others. A fifth of the sample is held out, and the rejection threshold is set on it.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partylens.llm import textvec
-from partylens.llm.base import fresh, map_texts, runs, table
+from partylens.llm.base import bounded, fresh, map_texts, runs, table
 
 #: Production parameters.
 MAX_LABELLED, WINDOW, STRIDE, STEPS, BATCH = 4000, 40, 20, 320, 160
@@ -407,6 +407,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the sample is bounded by a parameter, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     rows = rows.groupBy("id", "order", "y").agg(F.min("text").alias("text"))  # a repeated id is one document here
+    rows = bounded(rows, "text", ["order", "id"])
     got = sorted({(r["order"], str(r["id"]), r["text"] or "", r["y"]) for r in rows.collect()})
     return train([g[2] for g in got], [g[3] for g in got], **how) if got else None
 

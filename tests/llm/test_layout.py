@@ -56,6 +56,48 @@ def test_differencing_is_tight():
     assert S.difference([]) == [] and S.difference_sizes([5], 3) == [0]
 
 
+def plain_differencing(sizes, k):
+    """The sums of the shards, with lists that are searched through for the two largest spreads."""
+    parts = [[s] + [0] * (k - 1) for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(0), parts.pop(0)
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b))), reverse=True))
+    return parts[0]
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_differencing_agrees_with_plain_lists(k):
+    for seed in range(40):
+        r = random.Random(seed)
+        sizes = sorted(r.sample(range(1, 100_000), r.randint(1, 40)), reverse=True)
+        want = plain_differencing(sizes, k)
+        for slots in (S.difference_sizes(sizes, k), [f[0] for f in S.difference([[s] + [0] * (k - 1) for s in sizes])]):
+            got = sorted(np.bincount(slots, weights=sizes, minlength=k), reverse=True)
+            assert got[0] - got[-1] <= max(1.0001 * (want[0] - want[-1]), 0.02 * sum(sizes) / k) and sum(got) == sum(sizes)
+        if len(sizes) <= 9 and k == 2:  # never better than the best of all divisions
+            best = min(abs(2 * sum(c) - sum(sizes)) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n))
+            assert want[0] - want[-1] >= best
+
+
+def test_cells_are_as_even_as_one(docs, prose):
+    """The spread on both sides of the number of groups from which there are cells."""
+    rows = [(i, prose(i, 3 + i % 40)) for i in range(400)]
+    for per_cell in (500, 399, 40):
+        got = S.assign_shards(docs(rows), F.col("text"), F.octet_length("text"), k=8, per_cell=per_cell).collect()
+        sums = np.bincount([r["shard"] for r in got], weights=[r["bytes"] for r in got], minlength=8)
+        assert sums.max() - sums.min() <= 0.01 * sums.mean()
+
+
+def test_long_and_repeated_rows_are_sharded_and_packed(docs, prose):
+    long = prose(3, 200_000)
+    rows = [(1, long), (2, "x"), (2, "x"), (2, "x"), (3, None)]
+    got = S.assign_shards(docs(rows), F.col("text"), F.octet_length("text"), k=2).collect()
+    assert len(got) == 5 and len({r["shard"] for r in got if r["doc_id"] == 2}) == 1 and sum(r["bytes"] for r in got) == len(long) + 3
+    packed = K.pack(docs([(1, long), *[(5, prose(k, 9)) for k in range(50)]])).collect()
+    assert sum(r["n_tokens"] for r in packed if r["doc_id"] == 1) == K.counts_of(K.VOCABULARY)([long])[0] and sum(r["doc_id"] == 5 for r in packed) == 50
+
+
 @pytest.mark.parametrize("per_cell,on_driver", [(1000, 5000), (20, 3)])
 def test_shards(docs, prose, per_cell, on_driver):
     rows = [(i, prose(i % 150, 5 + (i % 150) * 2)) for i in range(220)] + [(300, None), (301, None), (302, ""), (None, "x"), (1, prose(1, 7))]

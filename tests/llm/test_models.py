@@ -88,6 +88,60 @@ def test_gradient():
         assert abs((up - down) / (2 * e) - g[name][at]) < 2e-3
 
 
+def scalar_logit(words, p):
+    """One window's logit, number by number, as the equations of the network are written."""
+    import math
+
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def layer(name, sequence):
+        h, out = [0.0] * X.H, []
+        for x in sequence:
+            pre = [sum(x[i] * p["w" + name][i][j] for i in range(len(x))) + p["b" + name][j] for j in range(3 * X.H)]
+            rec = [sum(h[i] * p["u" + name][i][j] for i in range(X.H)) for j in range(3 * X.H)]
+            new = []
+            for j in range(X.H):
+                r, z = sig(pre[j] + rec[j]), sig(pre[X.H + j] + rec[X.H + j])
+                c = math.tanh(pre[2 * X.H + j] + r * rec[2 * X.H + j])
+                new.append(z * h[j] + (1 - z) * c)
+            h = new
+            out.append(h)
+        return out
+
+    states = [a + b for a, b in zip(layer("f", words), layer("b", words[::-1])[::-1])]
+    e = [sum(math.tanh(sum(s[i] * p["wa"][i][j] for i in range(2 * X.H)) + p["ba"][j]) * p["va"][j] for j in range(X.A)) for s in states]
+    e = [math.exp(v - max(e)) for v in e]
+    pooled = [sum(w / sum(e) * s[i] for w, s in zip(e, states)) for i in range(2 * X.H)]
+    return sum(pooled[i] * p["wo"][i] for i in range(2 * X.H)) + p["bo"]
+
+
+def test_windows_agree_with_a_scalar_network():
+    rng = np.random.default_rng(5)
+    p = X._begin(rng)
+    p |= {k: (rng.standard_normal(p[k].shape) * 0.3).astype(np.float32) for k in ("bf", "bb", "ba")}
+    lengths = [1, 2, 7, 12]
+    x = np.concatenate([rng.standard_normal((sum(lengths), X.DW + X.DC)), np.zeros((1, X.DW + X.DC))]).astype(np.float32)
+    first = np.cumsum([0, *lengths[:-1]])
+    index = np.array([[a + t if t < n else len(x) - 1 for t in range(12)] for a, n in zip(first, lengths)])
+    mask = np.array([[float(t < n) for t in range(12)] for n in lengths], np.float32)
+    got = X._score(x, index, mask, p)
+    want = [scalar_logit(x[a : a + n].astype(float).tolist(), p) for a, n in zip(first, lengths)]
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_a_text_scores_as_its_worst_window_alone(model, prose):
+    """All windows scored one by one as texts of their own; of equal ones the first is told."""
+    words = prose(77, 300).split()
+    for at in (40, 170):
+        words[at] = "gruzzle"
+    words = words + words  # each window twice
+    text = " ".join(words)
+    alone = [X.score([" ".join(words[a : a + model.window])], model)["score"][0] for a in range(0, len(words) - model.window + model.stride, model.stride)]
+    got = X.score([text, text], model)
+    assert np.isclose(got["score"][0], max(alone), atol=1e-5) and got["score"][0] == got["score"][1]
+    assert text[got["begin"][0] : got["end"][0]].split()[:40] == words[model.stride * int(np.argmax(alone)) :][: model.window]
+
+
 def test_toxic_tables(spark, docs, prose):
     texts, labels = sample(prose, 240, 0)
     rows = [*enumerate(texts), (900, None), (901, ""), (None, texts[0]), (902, prose(5, 30000))]
@@ -120,6 +174,72 @@ def test_language_accuracy(spark, docs, prose):
     assert len(got) == 300 and np.mean([got[i]["lang"] == x for i, x in enumerate(labels)]) >= 0.97
 
 
+def test_ftrl_agrees_with_a_dense_loop(prose):
+    """Every coordinate of every step in plain numbers, with dense features."""
+    import math
+
+    texts, labels = languages(prose, 30)
+    buckets = 64
+    idf = np.linspace(1, 2, buckets)
+    model = G.train(texts, labels, idf, epochs=2, alpha=0.3, beta=0.7, l1=0.05, l2=0.4)
+    names, n_train = sorted(set(labels)), len(texts) - len(texts) // 5
+    k = len(names)
+    z = [[0.0] * k for _ in range(buckets + 1)]
+    n = [[0.0] * k for _ in range(buckets + 1)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= 0.05:
+            return 0.0
+        return -(z[i][c] - math.copysign(0.05, z[i][c])) / ((0.7 + math.sqrt(n[i][c])) / 0.3 + 0.4)
+
+    def dense(text):
+        count = [0] * buckets
+        for g in G.grams([text], buckets)[0]:
+            count[g] += 1
+        x = [(1 + math.log(c)) * idf[i] if c else 0.0 for i, c in enumerate(count)]
+        size = math.sqrt(sum(v * v for v in x))
+        return [v / size for v in x] + [1.0]
+
+    for _ in range(2):
+        for text, label in zip(texts[:n_train], labels):
+            x = dense(text)
+            w = [[weight(i, c) for c in range(k)] for i in range(buckets + 1)]
+            logit = [sum(x[i] * w[i][c] for i in range(buckets + 1)) for c in range(k)]
+            e = [math.exp(v - max(logit)) for v in logit]
+            for c in range(k):
+                slope = e[c] / sum(e) - (names[c] == label)
+                for i in range(buckets + 1):
+                    g = slope * x[i]
+                    z[i][c] += g - (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / 0.3 * w[i][c]
+                    n[i][c] += g * g
+    want = np.array([[weight(i, c) for c in range(k)] for i in range(buckets + 1)])
+    assert np.allclose(model.weight, want[:-1], atol=1e-8) and np.allclose(model.bias, want[-1], atol=1e-8)
+    assert (model.weight == 0).any() and (model.weight != 0).any()
+
+
+def test_document_frequencies_are_counts(docs, prose):
+    rows = [(i, prose(i, 12)) for i in range(30)] + [(40, None), (41, "")]
+    idf = G.document_frequencies(docs(rows), "text", 256)
+    seen = np.zeros(256)
+    for _, t in rows:
+        if t:
+            seen[sorted(set(G.grams([t], 256)[0].tolist()))] += 1
+    assert np.allclose(idf, np.log((len(rows) + 1) / (seen + 1)) + 1)
+
+
+def test_copies_take_no_places_in_the_sample(docs, prose, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "immer das gleiche") for i in range(3000)] + [(5000 + i, prose(i, 9)) for i in range(150)]
+    seen = {}
+    monkeypatch.setattr(G, "train", lambda texts, labels, idf: seen.update(n=len(texts), de=labels.count("de")))
+    labelled = docs(rows).withColumn("lang", F.when(F.col("doc_id") < 5000, "de").otherwise("en"))
+    G.fit(labelled, max_labelled=100)
+    assert seen["n"] == 100 and seen["de"] <= 1
+    G.fit(labelled, max_labelled=500)
+    assert seen == {"n": 151, "de": 1}
+
+
 def test_calibration_lowers_the_loss(prose):
     texts, labels = languages(prose, 200)
     model = G.train(texts, labels, np.ones(G.BUCKETS))
