@@ -1,8 +1,12 @@
 """Blocked fuzzy screening of subjects against a party list.
 
-index -> postings -> block (rarest keys first, bounded union, what was left out disclosed) -> cheap signals
--> score ceiling -> Jaro-Winkler on what is left -> bands -> best candidate for each party.
+index -> postings -> block (rarest keys first, bounded union, what was left out disclosed) -> pairs that can reach
+a band -> cheap signals -> score ceiling -> Jaro-Winkler on what is left -> bands -> best candidate for each party.
 Every step is a DataFrame operator; the only Python is the Arrow UDF behind the ceiling.
+
+Which keys the cap leaves out is settled by their frequencies alone wherever these suffice; no posting of a key that
+is surely left out is joined. Blocked pairs aren't listed in full: a pair reaches a band only if it shares so many
+tokens that one of them is among the rarest of both names, so common words make no pairs (``likely_pairs``).
 """
 
 from __future__ import annotations
@@ -53,22 +57,91 @@ def inverse_frequency(df: Column, n: Column) -> Column:
     return F.round(1 + F.log(n + 1) - F.log(df + 1), 4)
 
 
+def standing(queries: DataFrame, postings: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
+    """(query_id, kind, key, df, rank, kept) of every query's keys: whether they are within the cap.
+
+    Keys are taken rarest first until a query's union reaches ``cap`` entries. The union is at least its largest
+    posting and at most the sum of them, so the frequencies tell but for the keys between these bounds; only for
+    queries with such keys are postings joined and counted.
+    """
+    by_query = Window.partitionBy("query_id").orderBy("df", "key", "kind")
+    earlier = by_query.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keys(queries, "query_id").join(frequencies(postings), ["kind", "key"], "left").fillna(0, ["df"]).withColumn("rank", F.row_number().over(by_query))
+    ranked = ranked.withColumn("most", F.coalesce(F.sum("df").over(earlier), F.lit(0))).withColumn("least", F.coalesce(F.max("df").over(earlier), F.lit(0)))
+    unsure = ranked.filter((F.col("most") >= cap) & (F.col("least") < cap)).select("query_id").distinct()
+    live = ranked.filter((F.col("least") < cap) & (F.col("df") > 0)).join(unsure, "query_id", "left_semi")
+    met = live.join(postings, ["kind", "key"]).groupBy("query_id", "entry_id").agg(F.min("rank").alias("rank"))
+    new = met.groupBy("query_id", "rank").agg(F.count("*").alias("n"))
+    # ranks without a new entry take part, so that the sum runs on over them
+    so_far = live.select("query_id", "rank").join(new, ["query_id", "rank"], "left").withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    told = ranked.join(so_far.select("query_id", "rank", "before"), ["query_id", "rank"], "left")
+    kept = (F.col("least") < cap) & ((F.col("most") < cap) | (F.coalesce("before", F.lit(0)) < cap))
+    return told.select("query_id", "kind", "key", "df", "rank", kept.alias("kept"))
+
+
+def left_out(stand: DataFrame) -> DataFrame:
+    """(query_id, key, df) of the keys that the cap left out."""
+    return stand.filter(~F.col("kept") & (F.col("df") > 0)).select("query_id", "key", "df")
+
+
 def block(queries: DataFrame, names: DataFrame, cap: int = BLOCK_CAP) -> tuple[DataFrame, DataFrame]:
-    """(query_id, entry_id) pairs that share a key, and the (query_id, key, df) that the cap left out.
+    """All (query_id, entry_id) pairs that share a key within the cap, and the (query_id, key, df) that it left out."""
+    postings = keys(names, "entry_id")
+    stand = standing(queries, postings, cap)
+    kept = stand.filter("kept and df > 0").join(postings, ["kind", "key"]).select("query_id", "entry_id").distinct()
+    return kept, left_out(stand)
+
+
+def shared_at_least(a: Column, b: Column) -> Column:
+    """How many of a and b distinct tokens two names must share to reach a band by their tokens, at the best skeleton."""
+    w, fewer = WEIGHTS, F.least(a, b)
+    rest = WEAK - w["jaro_winkler"] - w["edit"] - w["skeleton"] - 1e-9
+    reached = lambda o: (o == fewer) | (w["jaccard"] * o / (a + b - o) + w["containment"] * o / fewer >= rest)
+    return F.element_at(F.filter(F.sequence(F.lit(1), fewer), reached), 1)
 
-    Keys are taken rarest first until a query's union reaches ``cap`` entries.
+
+def likely_pairs(queries: DataFrame, names: DataFrame, cap: int = BLOCK_CAP) -> tuple[DataFrame, DataFrame]:
+    """(query_id, entry_id) of all blocked pairs that can be ``promising``, and what the cap left out.
+
+    Tokens are ordered by their frequency in the list. Two names that share o of a and b tokens share one among the
+    first a - o + 1 of one and b - o + 1 of the other. A skeleton that is contained has its rarest token in the other
+    one. Acronyms meet as such. A pair must share a key within the cap as well.
     """
     postings = keys(names, "entry_id")
-    by_query = Window.partitionBy("query_id")
-    order = by_query.orderBy("df", "key", "kind")
-    ranked = keys(queries, "query_id").join(frequencies(postings), ["kind", "key"], "left").fillna(0, ["df"]).withColumn("rank", F.row_number().over(order))
-    pairs = ranked.filter("df > 0").join(postings, ["kind", "key"]).groupBy("query_id", "entry_id").agg(F.min("rank").alias("rank"))
-    new = pairs.groupBy("query_id", "rank").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(by_query.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seen = ranked.join(new, ["query_id", "rank"], "left").withColumn("before", before)
-    kept = pairs.join(seen.filter(F.col("before") < cap).select("query_id", "rank"), ["query_id", "rank"], "left_semi")
-    cut = seen.filter((F.col("before") >= cap) & (F.col("df") > 0)).select("query_id", "key", "df")
-    return kept.select("query_id", "entry_id"), cut
+    stand = standing(queries, postings, cap)
+    df = frequencies(postings)
+
+    def placed(frame: DataFrame, one: str) -> DataFrame:
+        """Keys with their place by rarity among those of their kind, and how many there are."""
+        own = Window.partitionBy(one, "kind")
+        return frame.withColumn("place", F.row_number().over(own.orderBy("df", "key"))).withColumn("n", F.count("*").over(own).cast("int"))
+
+    q = placed(stand, "query_id").select("query_id", "kind", "key", "place", "n")
+    l = placed(postings.join(df, ["kind", "key"]), "entry_id").select("entry_id", "kind", "key", "place", "n")
+    # the numbers of tokens that occur are few
+    sizes = lambda frame, name: F.broadcast(frame.filter("kind = 0").agg(F.collect_set("n").alias(name)))
+    a, b = F.col("a"), F.col("b")
+    first = lambda n: F.col("place") <= F.col(n) - shared_at_least(a, b) + 1
+    q0 = q.filter("kind = 0").crossJoin(sizes(l, "others")).select("query_id", "key", "place", F.col("n").alias("a"), F.explode("others").alias("b")).filter(first("a"))
+    l0 = l.filter("kind = 0").crossJoin(sizes(q, "others")).select("entry_id", "key", "place", F.col("n").alias("b"), F.explode("others").alias("a")).filter(first("b"))
+    by_tokens = q0.join(l0, ["key", "a", "b"]).select("query_id", "entry_id")
+    many_q = queries.filter(F.size("toks") >= 2).select("query_id")
+    many_l = names.filter(F.size("toks") >= 2).select("entry_id")
+    q1 = q.filter("kind = 1").join(many_q, "query_id", "left_semi").select("query_id", "key", F.col("place").alias("qp"), F.col("n").alias("qn"))
+    l1 = l.filter("kind = 1").join(many_l, "entry_id", "left_semi").select("entry_id", "key", F.col("place").alias("lp"), F.col("n").alias("ln"))
+    by_skeleton = q1.filter("qp = 1").join(l1, "key").filter("qn <= ln").select("query_id", "entry_id").unionByName(q1.join(l1.filter("lp = 1"), "key").filter("ln < qn").select("query_id", "entry_id"))
+    plain = F.replace("norm", F.lit(" "), F.lit(""))
+    initials = F.when(F.size("toks") >= 2, F.array_join(F.transform("toks", lambda t: F.substring(t, 1, 1)), ""))
+    qa, la = queries.select("query_id", plain.alias("qp"), initials.alias("qi")), names.select("entry_id", plain.alias("lp"), initials.alias("li"))
+    by_acronym = qa.join(la, F.col("qp") == F.col("li")).select("query_id", "entry_id").unionByName(qa.join(la, F.col("qi") == F.col("lp")).select("query_id", "entry_id"))
+    pairs = by_tokens.unionByName(by_skeleton).unionByName(by_acronym).distinct()
+    # the keys within the cap, of queries that have others: a pair must share one of them
+    bounded = stand.groupBy("query_id").agg(F.bool_and("kept").alias("all"), *[F.collect_set(F.when(F.col("kept") & (F.col("kind") == k), F.col("key"))).alias(n) for k, n in ((0, "within0"), (1, "within1"))])
+    within = queries.select("query_id", F.col("toks").alias("t0"), F.split("skel", " ").alias("t1")).join(bounded.filter("not all").drop("all"), "query_id", "left")
+    within = within.select("query_id", F.coalesce("within0", "t0").alias("t0"), F.coalesce("within1", "t1").alias("t1"))
+    entries = names.select("entry_id", F.col("toks").alias("e0"), F.split("skel", " ").alias("e1"))
+    met = pairs.join(within, "query_id").join(entries, "entry_id").filter(F.arrays_overlap("t0", "e0") | F.arrays_overlap("t1", "e1"))
+    return met.select("query_id", "entry_id"), left_out(stand)
 
 
 def cheap_signals(pairs: DataFrame) -> DataFrame:
@@ -126,11 +199,10 @@ def band_rank(column: str = "band") -> Column:
     return sum((F.when(F.col(column) == b, r).otherwise(0) for b, r in BAND_RANK.items()), F.lit(0))
 
 
-def candidate_pairs(queries: DataFrame, names: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
-    """Blocked pairs with both sides' forms (q_*, l_*) and whether they share an uncommon token."""
-    pairs, _ = block(queries, names, cap)
+def with_both_forms(pairs: DataFrame, queries: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs with both sides' forms (q_*, l_*) and whether they share an uncommon token."""
     parts = ("toks", "norm", "sorted_norm", "skel", "sorted_skel")
-    q = queries.select("query_id", "subject_id", *[F.col(c).alias("q_" + c) for c in parts])
+    q = queries.select("query_id", "subject_id", "query_name", *[F.col(c).alias("q_" + c) for c in parts])
     l = names.select("entry_id", "uid", "source", "listed_name", *[F.col(c).alias("l_" + c) for c in parts])
     common = common_tokens(names).agg(F.collect_set("token").alias("common"))  # at most 50 tokens pass 2 %, with ties in n
     joined = pairs.join(q, "query_id").join(l, "entry_id").crossJoin(F.broadcast(common))
@@ -138,29 +210,86 @@ def candidate_pairs(queries: DataFrame, names: DataFrame, cap: int = BLOCK_CAP)
     return joined.withColumn("discriminating", F.size(F.array_except(shared, F.col("common"))) > 0).drop("common")
 
 
+def candidate_pairs(queries: DataFrame, names: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
+    """All blocked pairs with both sides' forms."""
+    return with_both_forms(block(queries, names, cap)[0], queries, names)
+
+
 def subject_queries(subjects: DataFrame) -> DataFrame:
     """(query_id, subject_id, forms): each name and alias of (subject_id, name, aliases) is a query of its own."""
     every = subjects.select("subject_id", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("pos", "query_name"))
     return N.with_forms(every.filter("trim(query_name) <> ''"), "query_name").filter(F.size("toks") > 0).withColumn("query_id", F.concat_ws("#", "subject_id", "pos"))
 
 
+def told(cut_keys: DataFrame, queries: DataFrame) -> DataFrame:
+    """(subject_id, left_out): the keys that the cap left out, as they are told."""
+    text = F.concat(F.col("key"), F.lit(" (df="), F.col("df"), F.lit(")"))
+    return cut_keys.join(queries.select("query_id", "subject_id"), "query_id").groupBy("subject_id").agg(F.array_join(F.array_sort(F.collect_set(text)), "; ").alias("left_out"))
+
+
 def screen(subjects: DataFrame, parties: DataFrame, least: str = "WEAK", cap: int = BLOCK_CAP) -> DataFrame:
-    """The best candidate of each subject and party at or above a band, with its signals."""
-    # each is read four times below: the forms are worked out once and kept as a snapshot
+    """The best candidate of each subject and party at or above a band, with its signals.
+
+    ``left_out`` tells at each candidate what the cap left out of its subject's search; subjects without a candidate
+    are told by ``bounded_searches``.
+    """
+    # each is read several times below: the forms are worked out once and kept as a snapshot
     names, queries = cut(index(parties)), cut(subject_queries(subjects))
-    pairs = cheap_signals(candidate_pairs(queries, names, cap)).filter(promising())
+    likely, cut_keys = likely_pairs(queries, names, cap)
+    pairs = cheap_signals(with_both_forms(likely, queries, names)).filter(promising())
     scored = score(pairs).withColumn("band", band()).withColumn("band_rank", band_rank())
     best = Window.partitionBy("subject_id", "uid").orderBy(F.desc("band_rank"), F.desc("score"), "query_id", "entry_id")
     kept = scored.filter(F.col("band_rank") >= BAND_RANK[least]).withColumn("rn", F.row_number().over(best)).filter("rn = 1")
-    return kept.select("subject_id", "uid", "source", "listed_name", "band", "band_rank", "score", *WEIGHTS, "skeleton_equal", "acronym", "discriminating")
+    kept = kept.join(told(cut_keys, queries), "subject_id", "left")
+    return kept.select("subject_id", "uid", "source", "listed_name", F.col("query_name").alias("matched_name"), "band", "band_rank", "score", *WEIGHTS, "skeleton_equal", "acronym", "discriminating", "left_out")
+
+
+def in_order(candidates: DataFrame, most: int | None = None) -> DataFrame:
+    """Candidates by subject, best band and score first, then by uid; at most so many of each subject."""
+    order = Window.partitionBy("subject_id").orderBy(F.desc("band_rank"), F.desc("score"), "uid")
+    ranked = candidates.withColumn("place", F.row_number().over(order))
+    return (ranked if most is None else ranked.filter(F.col("place") <= most)).orderBy("subject_id", "place")
+
+
+def explain(name: str, parties: DataFrame, most: int = 10) -> DataFrame:
+    """The best candidates of one name with all their signals, in order; bands below WEAK are listed too."""
+    spark = parties.sparkSession
+    subject = spark.createDataFrame([("?", name, [])], "subject_id string, name string, aliases array<string>")
+    names, queries = cut(index(parties)), cut(subject_queries(subject))
+    scored = score(cheap_signals(candidate_pairs(queries, names))).withColumn("band", band()).withColumn("band_rank", band_rank())
+    best = Window.partitionBy("uid").orderBy(F.desc("band_rank"), F.desc("score"), "entry_id")
+    one = scored.withColumn("rn", F.row_number().over(best)).filter("rn = 1")
+    return in_order(one, most).select("place", "uid", "source", "listed_name", "band", "score", *WEIGHTS, "skeleton_equal", "acronym", "discriminating")
+
+
+def country_evidence(subject_country: Column, listed_countries: Column) -> Column:
+    """insufficient where either side has no country; agrees if one is part of the other, as text; else differs. Bands don't follow it."""
+    own = N.fold(F.coalesce(subject_country, F.lit("")))
+    others = F.filter(F.transform(F.coalesce(listed_countries, F.array().cast("array<string>")), lambda c: N.fold(c)), lambda c: c != "")
+    agrees = F.exists(others, lambda c: F.contains(own, c) | F.contains(c, own))
+    return F.when((own == "") | (F.size(others) == 0), "insufficient").when(agrees, "agrees").otherwise("differs")
+
+
+def capped_profile(parties: DataFrame, aliases: int = 25, addresses: int = 10, ids: int = 10, remarks: int = 1500) -> DataFrame:
+    """What a reviewer is shown of a listed party: its lists and remarks cut to a length, and how much was cut."""
+    cuts = {"aliases": aliases, "addresses": addresses, "ids": ids}
+    lists = [F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, n).alias(c) for c, n in cuts.items()]
+    hidden = sum((F.greatest(F.size(F.coalesce(c, F.array().cast("array<string>"))) - n, F.lit(0)) for c, n in cuts.items()), F.lit(0))
+    return parties.select("uid", "source", "name", *lists, F.substring("remarks", 1, remarks).alias("remarks"), hidden.alias("hidden"))
+
+
+#: What a critic may see of a subject; raw fields never.
+VISIBLE = ("ref", "name", "party_type", "country", "address", "role", "aliases", "destination_country", "eccn", "item_description", "end_use")
+
+
+def critic_view(subjects: DataFrame) -> DataFrame:
+    return subjects.select(*[c for c in VISIBLE if c in subjects.columns])
 
 
 def bounded_searches(subjects: DataFrame, parties: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
     """(subject_id, left_out): subjects for which the cap left keys out, which are told."""
-    queries = subject_queries(subjects)
-    _, cut = block(queries, index(parties), cap)
-    told = F.concat(F.col("key"), F.lit(" (df="), F.col("df"), F.lit(")"))
-    return cut.join(queries.select("query_id", "subject_id"), "query_id").groupBy("subject_id").agg(F.array_join(F.array_sort(F.collect_set(told)), "; ").alias("left_out"))
+    queries = cut(subject_queries(subjects))
+    return told(left_out(standing(queries, keys(index(parties), "entry_id"), cap)), queries)
 
 
 def tuning_digest() -> str:

@@ -9,28 +9,10 @@ from partylens.functions import names as N
 from partylens.operators import rules as R
 from partylens.operators import runs as U
 from partylens.operators import screening as S
+from partylens.plans import screen_sql as Q
 from partylens.plans.registry import query, t
 
-_FOLD = r"trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(replace({x}, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
-
-
-def _list(words):
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
-_SAME = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in N.SAME_WORD.items()) + " ELSE w END"
-_TOKS = f"list_filter(list_transform(string_split({{f}}, ' '), lambda w: {_SAME}), lambda w: w <> '' AND NOT list_contains({_list(N.STOP_WORDS)}, w))"
-_CORE = f"CASE WHEN len(list_filter({{t}}, lambda w: NOT list_contains({_list(N.LEGAL_FORMS)}, w))) > 0 THEN list_filter({{t}}, lambda w: NOT list_contains({_list(N.LEGAL_FORMS)}, w)) ELSE {{t}} END"
-
-
-def _skeleton(core: str) -> str:
-    word = "regexp_replace(w, '(off?|o[vw]|eff|e[vw])$', 'ov')"
-    for a, b in N.DIGRAPHS:
-        word = f"replace({word}, '{a}', '{b}')"
-    for c in "abcdefghijklmnopqrstuvwxyz":
-        word = f"regexp_replace({word}, '{c}{{2,}}', '{c}', 'g')"
-    out = f"list_transform({core}, lambda w: {word})"
-    return f"array_to_string(list_transform({out}, lambda w: left(w, 1) || regexp_replace(substr(w, 2), '[aeiouy]', '', 'g')), ' ')"
+_FOLD, _TOKS, _CORE, _list, _skeleton = Q.FOLD, Q.TOKENS, Q.CORE, Q.words, Q.skeleton
 
 
 def _stages(source: str, x: str) -> str:
@@ -97,35 +79,59 @@ def token_idf(spark, d):
     return df.crossJoin(F.broadcast(n)).select(F.col("key").alias("token"), S.inverse_frequency(F.col("df"), F.col("n")).alias("idf"))
 
 
-#: The list: distinct part names; the subjects: the same in other order, spelling and legal form.
+#: The list: parts by a name of their own (words and key); the subjects: the same parts in other order, spelling
+#: and legal form. All parts take part, so there are as many names as parts.
+_OWN_NAME = "p_name || ' ' || p_partkey"
+_PARTIES_SQL = f"SELECT 'P:' || p_partkey AS uid, CASE p_partkey % 3 WHEN 0 THEN 'SDN' WHEN 1 THEN 'EL' ELSE 'DPL' END AS source, {_OWN_NAME} || ' Limited' AS name, ['the ' || {_OWN_NAME}] AS aliases FROM part"
+_SUBJECTS_SQL = f"""SELECT 'S:' || p_partkey AS subject_id, CASE p_partkey % 4 WHEN 0 THEN upper({_OWN_NAME}) || ', Inc.' WHEN 1 THEN array_to_string(list_reverse(string_split({_OWN_NAME}, ' ')), ' ')
+WHEN 2 THEN regexp_replace({_OWN_NAME}, '([bcdfglmnprst])([aeiou])', '\\1\\1\\2', 'g') ELSE split_part(p_name, ' ', 1) || ' ' || p_partkey || ' GmbH' END AS name, CAST([] AS VARCHAR[]) AS aliases FROM part"""
+
+
+def _own_name():
+    return F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+
+
 def _distinct_list(spark, d) -> DataFrame:
-    one = t(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    return one.select(F.concat(F.lit("P:"), "k").alias("uid"), F.when(F.col("k") % 3 == 0, "SDN").when(F.col("k") % 3 == 1, "EL").otherwise("DPL").alias("source"), F.concat("p_name", F.lit(" Limited")).alias("name"), F.array(F.concat(F.lit("the "), F.col("p_name"))).alias("aliases"))
+    k = F.col("p_partkey") % 3
+    return t(spark, d, "part").select(F.concat(F.lit("P:"), "p_partkey").alias("uid"), F.when(k == 0, "SDN").when(k == 1, "EL").otherwise("DPL").alias("source"), F.concat(_own_name(), F.lit(" Limited")).alias("name"), F.array(F.concat(F.lit("the "), _own_name())).alias("aliases"))
 
 
 def _subjects(spark, d) -> DataFrame:
-    one = t(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    words, k = F.split("p_name", " "), F.col("k") % 4
-    turned = F.array_join(F.reverse(words), " ")
-    name = F.when(k == 0, F.concat(F.upper("p_name"), F.lit(", Inc."))).when(k == 1, turned).when(k == 2, F.regexp_replace("p_name", "([bcdfglmnprst])(?=[aeiou])", "$1$1")).otherwise(F.concat(F.element_at(words, 1), F.lit(" GmbH")))
-    return one.select(F.concat(F.lit("S:"), "k").alias("subject_id"), name.alias("name"), F.array().cast("array<string>").alias("aliases"))
+    k, own = F.col("p_partkey") % 4, _own_name()
+    name = F.when(k == 0, F.concat(F.upper(own), F.lit(", Inc."))).when(k == 1, F.array_join(F.reverse(F.split(own, " ")), " ")).when(k == 2, F.regexp_replace(own, "([bcdfglmnprst])([aeiou])", "$1$1$2")).otherwise(F.concat(F.split("p_name", " ")[0], F.lit(" "), "p_partkey", F.lit(" GmbH")))
+    return t(spark, d, "part").select(F.concat(F.lit("S:"), "p_partkey").alias("subject_id"), name.alias("name"), F.array().cast("array<string>").alias("aliases"))
+
+
+_SCREEN_SQL = f"WITH {Q.screening(_SUBJECTS_SQL, _PARTIES_SQL)}"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in S.WEIGHTS else c for c in df.columns])
 
 
-@query()
+_COLUMNS = ", ".join(f"round({c}, 6) AS {c}" if c in S.WEIGHTS else c for c in Q.COLUMNS.split(", "))
+
+
+@query(f"{_SCREEN_SQL} SELECT {_COLUMNS} FROM found WHERE band_rank >= 1")
 def screen_parts(spark, d):
     """Part names' variants against part names, full ladder."""
-    return S.screen(_subjects(spark, d), _distinct_list(spark, d))
+    return _rounded(S.screen(_subjects(spark, d), _distinct_list(spark, d)))
+
+
+_CUSTOMERS_SQL = "SELECT CAST(c_custkey AS VARCHAR) AS subject_id, replace(c_name, 'Customer', 'Supplier') AS name, CAST([] AS VARCHAR[]) AS aliases FROM customer"
+_SUPPLIERS_SQL = "SELECT 'SUP:' || s_suppkey AS uid, 'SUP' AS source, s_name AS name, CAST([] AS VARCHAR[]) AS aliases FROM supplier"
 
 
-@query()
+@query(f"WITH {Q.screening(_CUSTOMERS_SQL, _SUPPLIERS_SQL)} SELECT {_COLUMNS} FROM found WHERE band_rank >= 2")
 def customer_supplier_screen(spark, d):
     """Every customer against every supplier, blocked."""
     suppliers = t(spark, d, "supplier").select(F.concat(F.lit("SUP:"), "s_suppkey").alias("uid"), F.lit("SUP").alias("source"), F.col("s_name").alias("name"), F.array().cast("array<string>").alias("aliases"))
     customers = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("subject_id"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("name"), F.array().cast("array<string>").alias("aliases"))
-    return S.screen(customers, suppliers, least="STRONG")
+    return _rounded(S.screen(customers, suppliers, least="STRONG"))
 
 
-@query()
+@query(f"""{_SCREEN_SQL} SELECT s.subject_id, ['NONE', 'WEAK', 'STRONG', 'EXACT'][coalesce(max(band_rank), 0) + 1] AS top_band, count(uid) AS candidates
+FROM subs s LEFT JOIN (SELECT * FROM found WHERE band_rank >= 1) f ON f.subject_id = s.subject_id GROUP BY s.subject_id""")
 def top_band(spark, d):
     """Each subject's best band, NONE if it has no candidate."""
     subjects = _subjects(spark, d)
@@ -134,7 +140,10 @@ def top_band(spark, d):
     return subjects.select("subject_id").join(best, "subject_id", "left").select("subject_id", U.lookup(names, F.coalesce("rank", F.lit(0))).alias("top_band"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
-@query()
+@query(f"""{_SCREEN_SQL}, hits AS (SELECT subject_id, source, band_rank FROM found WHERE band_rank >= 1), fl AS (SELECT subject_id, unnest(CASE source WHEN 'SDN' THEN [3, 1] WHEN 'EL' THEN [2, 1] ELSE [3, 1] END) AS severity FROM hits),
+w AS (SELECT subject_id, max(severity) AS worst, count(*) AS flags FROM fl GROUP BY subject_id), top AS (SELECT subject_id, max(band_rank) AS rank FROM hits GROUP BY subject_id),
+o AS (SELECT s.subject_id, coalesce(rank, 0) AS rank, CAST(coalesce(worst, 0) AS INTEGER) AS worst, coalesce(flags, 0) AS flags FROM subs s LEFT JOIN top USING (subject_id) LEFT JOIN w USING (subject_id))
+SELECT subject_id, ['NONE', 'WEAK', 'STRONG', 'EXACT'][rank + 1] AS top_band, worst, flags, CASE WHEN rank = 3 THEN 'CONFIRMED_HIT' WHEN rank >= 1 OR worst >= 1 THEN 'REVIEW' ELSE 'CLEAR' END AS disposition, rank >= 1 OR worst >= 1 AS requires_human FROM o""")
 def screen_disposition(spark, d):
     """The main path: screen, list flags, worst severity, provisional disposition."""
     subjects, parties = _subjects(spark, d), _distinct_list(spark, d)
@@ -181,7 +190,7 @@ def pair_levenshtein(spark, d):
     return _pairs(spark, d).select("a", "b", F.levenshtein("na", "nb").cast("long").alias("distance"), F.round(N.edit_ratio(F.col("na"), F.col("nb")), 6).alias("ratio"))
 
 
-@query()
+@query(f"{_PAIR_FORMS}, {Q.jaro_winkler('SELECT na AS a, nb AS b FROM pairs')} SELECT p.a, p.b, round(value, 6) AS jaro_winkler FROM pairs p JOIN jw ON jw.a = na AND jw.b = nb")
 def pair_jaro_winkler(spark, d):
     return _pairs(spark, d).select("a", "b", F.round(N.jaro_winkler("na", "nb"), 6).alias("jaro_winkler"))
 
@@ -198,7 +207,7 @@ def name_initials(spark, d):
     return f.select("p_partkey", F.array_join(F.transform("toks", lambda w: F.substring(w, 1, 1)), "").alias("initials"), N.acronym_of(F.substring("name", 1, 2), F.col("toks")).alias("acronym"))
 
 
-@query()
+@query(f"WITH {Q.screening(_SUBJECTS_SQL, _PARTIES_SQL, 30)} SELECT subject_id, left_out FROM told")
 def block_truncated(spark, d):
     """Keys left out at a cap of 30 entries, as they are told."""
     return S.bounded_searches(_subjects(spark, d), _distinct_list(spark, d), cap=30)
