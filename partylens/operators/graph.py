@@ -1,7 +1,7 @@
 """Graph analytics over (src, dst) edges: closures by iterated joins, cut points, ranks, cover.
 
-The graphs meant here are dependency graphs of systems; loops are bounded by ``most`` rounds and each
-round's result is checkpointed, so lineage stays short.
+The graphs meant here are dependency graphs of systems. Loops run until nothing changes, however long the
+paths are, and each round's result is checkpointed, so lineage stays short.
 """
 
 from __future__ import annotations
@@ -20,33 +20,32 @@ def dependencies(edges: DataFrame) -> DataFrame:
     return edges.select(F.when(flip, F.col("to_id")).otherwise(F.col("from_id")).alias("src"), F.when(flip, F.col("from_id")).otherwise(F.col("to_id")).alias("dst"), "type")
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): least node of each undirected component, labels jumping to their label's label."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     now = nodes.select("id", F.col("id").alias("component"))
-    for _ in range(most):
+    while True:
         near = both.join(now, both["src"] == now["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("c"))
         better = now.join(near, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"))
         jump = better.select(F.col("id").alias("component"), F.col("component").alias("up"))
         after = cut(better.join(jump, "component").select("id", F.least("component", "up").alias("component")))
-        changed = after.join(now.withColumnRenamed("component", "old"), "id").filter("component <> old").isEmpty()
+        same = after.join(now.withColumnRenamed("component", "old"), "id").filter("component <> old").isEmpty()
         now = after
-        if changed:
-            break
-    return now
+        if same:
+            return now
 
 
-def reachable(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(src, dst, hops): the transitive closure with least hops; doubling isn't needed at these depths."""
-    step = edges.select("src", "dst").distinct()
-    total = front = cut(step.withColumn("hops", F.lit(1)))
-    for hops in range(2, most + 1):
-        onward = front.select("src", F.col("dst").alias("via")).join(step.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        front = cut(onward.join(total, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
-        if front.isEmpty():
-            break
-        total = cut(total.unionByName(front))
-    return total
+def reachable(edges: DataFrame) -> DataFrame:
+    """(src, dst, hops): the transitive closure with least hops. Paths double with each round, so rounds are logarithmic."""
+    total = cut(edges.select("src", "dst").distinct().withColumn("hops", F.lit(1)))
+    size = None
+    while True:
+        onward = total.select("src", F.col("dst").alias("via"), F.col("hops").alias("a")).join(total.select(F.col("src").alias("via"), "dst", F.col("hops").alias("b")), "via").select("src", "dst", (F.col("a") + F.col("b")).alias("hops"))
+        after = cut(total.unionByName(onward).groupBy("src", "dst").agg(F.min("hops").alias("hops")))
+        told = after.agg(F.count("*").alias("n"), F.sum("hops").alias("hops")).first()
+        if (told["n"], told["hops"]) == size:
+            return after
+        total, size = after, (told["n"], told["hops"])
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,20 +55,19 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(mutual, "id", "left").select("id", F.least(F.col("id"), F.coalesce("m", "id")).alias("scc"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): longest path to the node in the condensation; a cycle is one level."""
     scc = strong_components(nodes, edges)
     a, b = scc.select(F.col("id").alias("src"), F.col("scc").alias("a")), scc.select(F.col("id").alias("dst"), F.col("scc").alias("b"))
     dag = cut(edges.join(a, "src").join(b, "dst").filter("a <> b").select("a", "b").distinct())
     now = cut(scc.select(F.col("scc").alias("a")).distinct().withColumn("level", F.lit(0)))
-    for _ in range(most):
+    while True:
         below = dag.join(now, "a").groupBy(F.col("b").alias("a")).agg(F.max(F.col("level") + 1).alias("l"))
         after = cut(now.join(below, "a", "left").select("a", F.greatest("level", F.coalesce("l", F.lit(0))).alias("level")))
         same = after.join(now.withColumnRenamed("level", "old"), "a").filter("level <> old").isEmpty()
         now = after
         if same:
-            break
-    return scc.join(now, scc["scc"] == now["a"]).select("id", "level")
+            return scc.join(now, scc["scc"] == now["a"]).select("id", "level")
 
 
 def cut_points(nodes: DataFrame, edges: DataFrame, most: int = 2000) -> DataFrame:
@@ -100,15 +98,22 @@ def load_bearing(edges: DataFrame) -> DataFrame:
     return ranked.select("id", "score", "rank", (F.col("rank") == F.col("other_rank")).alias("stable"))
 
 
-def roots(derived: DataFrame, most: int = 50) -> DataFrame:
-    """(id, root) of (id, parent) chains; a null parent is a root, a cycle has none."""
-    now = cut(derived.select("id", F.coalesce("parent", "id").alias("root"), F.col("parent").isNull().alias("done")))
-    for _ in range(most):
+def roots(derived: DataFrame) -> DataFrame:
+    """(id, root) of (id, parent) chains of any length; a null parent is a root, a cycle has none.
+
+    Each round doubles how far a pointer reaches, so chains of n take about log2(n) rounds; what moves for longer
+    than that is on a cycle.
+    """
+    now = cut(derived.select("id", F.coalesce("parent", "id").alias("up"), F.col("parent").isNull().alias("done")))
+    rounds = 1 + max(1, now.count()).bit_length()
+    for _ in range(rounds):
         if now.filter("not done").isEmpty():
             break
-        up = derived.select(F.col("id").alias("root"), F.col("parent").alias("next"), F.lit(True).alias("known"))
-        now = cut(now.join(up, "root", "left").select("id", F.when(F.col("done") | F.col("next").isNull(), F.col("root")).otherwise(F.col("next")).alias("root"), (F.col("done") | F.col("next").isNull()).alias("done")))
-    return now.filter("done").select("id", "root")
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("done").alias("at_root"))
+        met = now.join(above, "up", "left")
+        # a parent that isn't listed is a root
+        now = cut(met.select("id", F.when(F.col("done") | F.col("next").isNull(), F.col("up")).otherwise(F.col("next")).alias("up"), (F.col("done") | F.col("next").isNull() | F.col("at_root")).alias("done")))
+    return now.filter("done").select("id", F.col("up").alias("root"))
 
 
 def greedy_cover(required: set[str], offers: dict[str, set[str]]) -> list[str]:

@@ -45,11 +45,11 @@ def critic_route(verdict: Column, risk: Column, critical: Column, failed: Column
 
 
 def high_water(attempts: DataFrame) -> DataFrame:
-    """(case_id, disposition, reversed): the severest of a case's attempts, and whether one fell behind it."""
+    """(case_id, disposition, reversed, route): the severest of a case's attempts, and whether one fell behind it, which escalates."""
     before = F.max("rank").over(Window.partitionBy("case_id").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1))
     marked = attempts.withColumn("rank", lookup(RANK, "disposition")).withColumn("reversed", F.coalesce(F.col("rank") < before, F.lit(False)))
     out = marked.groupBy("case_id").agg(F.max("rank").alias("rank"), F.max("reversed").alias("reversed"))
-    return out.select("case_id", lookup({v: k for k, v in RANK.items()}, "rank").alias("disposition"), "reversed")
+    return out.select("case_id", lookup({v: k for k, v in RANK.items()}, "rank").alias("disposition"), "reversed", F.when(F.col("reversed"), "ESCALATE").otherwise("COMMIT").alias("route"))
 
 
 def latest(run: DataFrame) -> DataFrame:

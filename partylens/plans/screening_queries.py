@@ -347,14 +347,16 @@ def critic_route(spark, d):
     return t(spark, d, "events").select("event_id", U.critic_route(verdict, (e % 10) / 10, e % 13 == 0, e % 17 == 0, e % 5).alias("route"))
 
 
-@query("""WITH a AS (SELECT user_id AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS k FROM events),
-f AS (SELECT * FROM a WHERE attempt <= 4), m AS (SELECT *, max(k) OVER (PARTITION BY case_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f)
-SELECT case_id, ['CLEAR', 'REVIEW', 'CONFIRMED_HIT', 'BLOCKED', 'ESCALATE'][max(k) + 1] AS disposition, bool_or(coalesce(k < before, false)) AS reversed FROM m GROUP BY case_id""")
+@query("""WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS k FROM events),
+f AS (SELECT user_id || '/' || n // 4 AS case_id, n % 4 AS attempt, k FROM r), m AS (SELECT *, max(k) OVER (PARTITION BY case_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f)
+SELECT case_id, ['CLEAR', 'REVIEW', 'CONFIRMED_HIT', 'BLOCKED', 'ESCALATE'][max(k) + 1] AS disposition, bool_or(coalesce(k < before, false)) AS reversed, CASE WHEN bool_or(coalesce(k < before, false)) THEN 'ESCALATE' ELSE 'COMMIT' END AS route FROM m GROUP BY case_id""")
 def retry_high_water(spark, d):
-    """A case has at most four attempts; its first four events stand for them."""
-    attempt = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    """A case has at most four attempts, so a user's events make consecutive cases of four."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     kind = U.lookup({"view": "CLEAR", "click": "REVIEW", "signup": "CONFIRMED_HIT", "purchase": "BLOCKED", "error": "ESCALATE"}, "event_type")
-    return U.high_water(t(spark, d, "events").select(F.col("user_id").alias("case_id"), attempt.alias("attempt"), kind.alias("disposition")).filter("attempt <= 4"))
+    e = t(spark, d, "events").withColumn("n", n)
+    case = F.concat(F.col("user_id"), F.lit("/"), F.floor(F.col("n") / 4))
+    return U.high_water(e.select(case.alias("case_id"), (F.col("n") % 4).alias("attempt"), kind.alias("disposition")))
 
 
 _RUN_SQL = "SELECT CAST(o_custkey AS VARCHAR) AS ref, o_orderpriority AS name, o_orderkey AS row, CASE o_orderstatus WHEN 'F' THEN 'CLEAR' WHEN 'O' THEN 'REVIEW' ELSE 'CONFIRMED_HIT' END AS disposition, o_orderdate FROM orders"

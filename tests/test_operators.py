@@ -89,39 +89,69 @@ def test_constraints(spark):
     assert C.requires(df, "V", "id", F.col("role") == "train", F.lit(None).cast("boolean"), "m").count() == 2
 
 
-def test_audit(spark, tmp_path):
+def test_an_appended_log_verifies_and_tampering_is_found(spark, tmp_path):
     path = str(tmp_path / "log")
-    A.append(path, [{"event": "run.start", "payload": {"é": 1}}])
-    rows = A.append(path, [{"event": "run.end", "payload": {}}])
-    assert rows[0]["seq"] == 2
-    lines = [json.loads(x) for x in open(path, encoding="utf-8")]
-    assert lines[1]["prev_hash"] == lines[0]["hash"] == A.digest({k: v for k, v in lines[0].items() if k != "hash"})
-    assert json.load(open(path + ".HEAD"))["seq"] == 2
-
-
-def test_audit_end(spark):
-    chain = spark.createDataFrame([(1, A.GENESIS, "b")], "seq long, prev_hash string, body string").withColumn("hash", A.link(F.col("seq"), F.col("prev_hash"), F.col("body")))
-    h = chain.first()["hash"]
-    assert A.verify(chain, (1, h)).count() == 0
-    assert A.verify(chain, (2, "x")).count() == 1
-    assert A.verify(chain.limit(0), (1, h)).count() == 1
-
-
-def test_audit_queries_chain_every_event(spark, tmp_path, monkeypatch):
-    import hashlib
-
-    from partylens.plans import analytics_queries as Q
-
-    n, seen = 30_000, []
-    spark.range(n).select(F.col("id").alias("event_id"), F.concat(F.lit("k"), F.col("id") % 7).alias("event_type"), (F.col("id") % 11).alias("user_id")).orderBy(F.rand(1)).write.parquet(f"{tmp_path}/events.parquet")
-    verify = A.verify
-    monkeypatch.setattr(A, "verify", lambda chain: seen.append(chain) or verify(chain))
-    assert Q.audit_verify(spark, str(tmp_path)).count() == 0
-    assert {tuple(r) for r in Q.audit_tamper(spark, str(tmp_path)).collect()} == {(101, "gap"), (101, "broken link"), (200, "changed body")}
-    assert [x.count() for x in seen] == [n, n - 1]
+    entry = lambda k, **more: {"ts": f"2026-01-0{k}T00:00:00Z", "actor": "é \"q\"", "event": "case.screened", "payload": {"ref": k, "z": [1, None], "a": {"hash": "x"}}, **more}
+    A.append(path, [entry(k) for k in (1, 2, 3)])
+    rows = A.append(path, [entry(4), {"event": "run.end", "payload": {}}])
+    assert [r["seq"] for r in rows] == [4, 5]
+    problems = lambda: {(r["seq"], r["problem"]) for r in A.verify_log(spark, path).collect()}
+    assert problems() == set() and A.head(path) == (5, rows[-1]["hash"])
+    lines = open(path, encoding="utf-8").read().splitlines()
+
+    def write(new):
+        open(path, "w", encoding="utf-8").write("".join(x + "\n" for x in new))
+
+    write([json.dumps(json.loads(x), indent=None, ensure_ascii=True) for x in lines])  # another layout of the same entries
+    assert problems() == set()
+    write([lines[0], lines[1].replace('"ref":2', '"ref":9'), *lines[2:]])
+    assert problems() == {(2, "changed body")}
+    write([lines[0], *lines[2:]])
+    assert problems() == {(3, "gap"), (3, "broken link")}
+    write(lines[:4])
+    assert problems() == {(5, "the end differs from HEAD")}
+    write([*lines[:2], "{broken", "[1]", "", *lines[2:]])
+    assert problems() == {(None, "corrupt line 3"), (None, "corrupt line 4")}
+    assert [r["corrupt"] for r in A.read_log(spark, path).filter("corrupt is not null").collect()] == ["{broken", "[1]"]
+    forged = json.loads(lines[4])
+    body = {k: v for k, v in {**forged, "payload": {"x": 1}}.items() if k != "hash"}
+    write([*lines[:4], A.canonical({**body, "hash": A.digest(body)})])  # a replaced end whose own hash is right
+    assert problems() == {(5, "the end differs from HEAD")}
+    write([])
+    assert problems() == {(None, "empty log"), (5, "the end differs from HEAD")}
+    open(path + ".HEAD", "w").write("no json")
+    assert A.head(path) is None and problems() == {(None, "empty log")}
+
+
+def test_a_second_writer_is_refused(tmp_path):
+    import fcntl
+
+    path = str(tmp_path / "log")
+    with open(path, "a+") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        with pytest.raises(TimeoutError):
+            A.append(path, [{"event": "run.start"}], timeout=0.2)
+
+
+def test_chains_of_any_length(spark):
+    """One chain of 30,000 entries beside short ones, folded by hand."""
+    rows = [(0 if i % 3 else i, f"t{i:06d}", "u", "case.screened", '{"b": 1, "a": "é"}') for i in range(45_000)]
+    got = A.chained(spark.createDataFrame(rows, "chain long, ts string, actor string, event string, payload string"), ["ts"])
+    got.cache()
+    assert A.verify(A.rehashed(got)).count() == 0 and got.count() == len(rows)
     prev = A.GENESIS
-    for i in range(n):
-        prev = hashlib.sha256(f"{i + 1}|{prev}|k{i % 7}:{i % 11}".encode()).hexdigest()
-    assert verify(seen[0], (n, prev)).count() == 0
-    late = seen[0].withColumn("body", F.when(F.col("seq") == n - 5, "forged").otherwise(F.col("body")))
-    assert [tuple(r) for r in verify(late).collect()] == [(n - 5, "changed body")]
+    for n, (_, *parts, payload) in enumerate((r for r in rows if r[0] == 0), 1):
+        prev = A.digest({"seq": n, **dict(zip(("ts", "actor", "event"), parts)), "payload": json.loads(payload), "prev_hash": prev})
+    assert got.filter("chain = 0").agg(F.max_by("hash", "seq")).first()[0] == prev
+    late = got.withColumn("actor", F.when((F.col("chain") == 0) & (F.col("seq") == 29_000), "x").otherwise(F.col("actor")))
+    assert [tuple(r) for r in A.verify(A.rehashed(late)).collect()] == [(0, 29_000, "changed body")]
+
+
+def test_loops_go_on_to_the_end_of_long_paths(spark):
+    chain = [(i, i + 1) for i in range(1, 140)]
+    edges, nodes = spark.createDataFrame(chain + [(140, 135)], "src long, dst long"), spark.range(1, 141).select("id")
+    assert {r["hops"] for r in G.reachable(edges).filter("src = 1").collect()} == set(range(1, 140))
+    assert G.levels(nodes, edges).agg(F.max("level")).first()[0] == 134 and G.components(nodes, edges).filter("component <> 1").count() == 0
+    up = spark.createDataFrame([(1, None), *[(i + 1, i) for i in range(1, 140)], (500, 501), (501, 500), (600, 999)], "id long, parent long")
+    got = {r["id"]: r["root"] for r in G.roots(up).collect()}
+    assert got == {**{i: 1 for i in range(1, 141)}, 600: 999}
