@@ -65,8 +65,8 @@ def url_patterns(spark, d):
     return C.pattern(t(spark, d, "pages"), "C-14", "page_id", "url", "https")
 
 
-@query("""WITH l AS (SELECT s_suppkey, ['Denied Persons List', ' entity  LIST ', 'Entity List (EL) - BIS', 'Specially Designated Nationals (SDN)', 'x'][s_suppkey % 5 + 1] AS label FROM supplier),
+@query("""WITH l AS (SELECT s_suppkey, ['Denied Persons List', ' entity  LIST ', 'Entity List (EL) - BIS', 'Specially Designated Nationals (SDN) - Treasury Department', 'x'][s_suppkey % 5 + 1] AS label FROM supplier),
 c AS (SELECT *, ['DPL', 'EL', 'UNKNOWN', 'SDN', 'UNKNOWN'][s_suppkey % 5 + 1] AS code FROM l) SELECT s_suppkey, label, code, CASE code WHEN 'DPL' THEN 'no participation' WHEN 'EL' THEN 'license needed' WHEN 'SDN' THEN 'blocked' ELSE 'unknown list: treat as restricted until told' END AS effect FROM c""")
 def list_labels(spark, d):
-    labels = dict(enumerate(["Denied Persons List", " entity  LIST ", "Entity List (EL) - BIS", "Specially Designated Nationals (SDN)", "x"]))
+    labels = dict(enumerate(["Denied Persons List", " entity  LIST ", "Entity List (EL) - BIS", "Specially Designated Nationals (SDN) - Treasury Department", "x"]))
     return t(spark, d, "supplier").select("s_suppkey", lookup(labels, F.col("s_suppkey") % 5).alias("label")).withColumn("code", D.list_code(F.col("label"))).withColumn("effect", D.effect(F.col("code")))

@@ -79,16 +79,16 @@ def token_idf(spark, d):
     return df.crossJoin(F.broadcast(n)).select(F.col("key").alias("token"), S.inverse_frequency(F.col("df"), F.col("n")).alias("idf"))
 
 
-#: The list: parts by a name of their own (words and key); the subjects: the same parts in other order, spelling
+#: The list: parts by a name of their own (a common word, one that fifty parts share, one of each part); the subjects: the same parts in other order, spelling
 #: and legal form. All parts take part, so there are as many names as parts.
-_OWN_NAME = "p_name || ' ' || p_partkey"
+_OWN_NAME = "split_part(p_name, ' ', 1) || ' ' || substr(md5('a' || p_partkey // 50), 1, 7) || ' ' || substr(md5('b' || p_partkey), 1, 7)"
 _PARTIES_SQL = f"SELECT 'P:' || p_partkey AS uid, CASE p_partkey % 3 WHEN 0 THEN 'SDN' WHEN 1 THEN 'EL' ELSE 'DPL' END AS source, {_OWN_NAME} || ' Limited' AS name, ['the ' || {_OWN_NAME}] AS aliases FROM part"
 _SUBJECTS_SQL = f"""SELECT 'S:' || p_partkey AS subject_id, CASE p_partkey % 4 WHEN 0 THEN upper({_OWN_NAME}) || ', Inc.' WHEN 1 THEN array_to_string(list_reverse(string_split({_OWN_NAME}, ' ')), ' ')
-WHEN 2 THEN regexp_replace({_OWN_NAME}, '([bcdfglmnprst])([aeiou])', '\\1\\1\\2', 'g') ELSE split_part(p_name, ' ', 1) || ' ' || p_partkey || ' GmbH' END AS name, CAST([] AS VARCHAR[]) AS aliases FROM part"""
+WHEN 2 THEN regexp_replace({_OWN_NAME}, '([bcdfglmnprst])([aeiou])', '\\1\\1\\2', 'g') ELSE split_part(p_name, ' ', 1) || ' ' || substr(md5('b' || p_partkey), 1, 7) || ' GmbH' END AS name, CAST([] AS VARCHAR[]) AS aliases FROM part"""
 
 
 def _own_name():
-    return F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    return F.concat_ws(" ", F.split("p_name", " ")[0], F.substring(F.md5(F.concat(F.lit("a"), F.floor(F.col("p_partkey") / 50))), 1, 7), F.substring(F.md5(F.concat(F.lit("b"), "p_partkey")), 1, 7))
 
 
 def _distinct_list(spark, d) -> DataFrame:
@@ -98,7 +98,7 @@ def _distinct_list(spark, d) -> DataFrame:
 
 def _subjects(spark, d) -> DataFrame:
     k, own = F.col("p_partkey") % 4, _own_name()
-    name = F.when(k == 0, F.concat(F.upper(own), F.lit(", Inc."))).when(k == 1, F.array_join(F.reverse(F.split(own, " ")), " ")).when(k == 2, F.regexp_replace(own, "([bcdfglmnprst])([aeiou])", "$1$1$2")).otherwise(F.concat(F.split("p_name", " ")[0], F.lit(" "), "p_partkey", F.lit(" GmbH")))
+    name = F.when(k == 0, F.concat(F.upper(own), F.lit(", Inc."))).when(k == 1, F.array_join(F.reverse(F.split(own, " ")), " ")).when(k == 2, F.regexp_replace(own, "([bcdfglmnprst])([aeiou])", "$1$1$2")).otherwise(F.concat(F.split("p_name", " ")[0], F.lit(" "), F.split(own, " ")[2], F.lit(" GmbH")))
     return t(spark, d, "part").select(F.concat(F.lit("S:"), "p_partkey").alias("subject_id"), name.alias("name"), F.array().cast("array<string>").alias("aliases"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,9 +63,14 @@ def records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     return spark.sql(f"SELECT path, r.* FROM {name}, LATERAL parse_delimited(content, '{delimiter}') r")
 
 
+def headers_of(fields: Column) -> Column:
+    """Headers in lower case, all but letters and digits as single underscores."""
+    return F.transform(fields, lambda h: F.trim(F.regexp_replace(F.lower(h), "[^a-z0-9]+", "_"), F.lit("_")))
+
+
 def headed(rows: DataFrame) -> DataFrame:
     """Records with their file's header beside them; ragged ones are marked."""
-    head = rows.filter("row_no = 1").select(F.col("path").alias("p"), F.transform("fields", lambda h: F.trim(F.regexp_replace(F.lower(h), "[^a-z0-9]+", "_"), F.lit("_"))).alias("header"))
+    head = rows.filter("row_no = 1").select(F.col("path").alias("p"), headers_of(F.col("fields")).alias("header"))
     body = rows.filter("row_no > 1").join(F.broadcast(head), rows["path"] == head["p"]).drop("p")
     ragged = F.size("fields") != F.size("header")
     same = F.transform("header", lambda h, i: F.get(F.col("fields"), i))
@@ -79,7 +85,7 @@ def field(aliases: str) -> Column:
 def unmapped(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Headers that no canonical field takes."""
     known = [a for v in fields.values() for a in v.split()]
-    return rows.filter("row_no = 1").select("path", F.explode(F.transform("fields", lambda h: F.trim(F.regexp_replace(F.lower(h), "[^a-z0-9]+", "_"), F.lit("_")))).alias("header")).filter(~F.col("header").isin(known))
+    return rows.filter("row_no = 1").select("path", F.explode(headers_of(F.col("fields"))).alias("header")).filter(~F.col("header").isin(known))
 
 
 def party_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +97,7 @@ def party_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("party_type").isin(*"aircraft entity individual vessel".split()), F.col("party_type")).otherwise("unknown").alias("party_type"), "country", "address", "role",
         F.slice(split_multi(F.col("aliases")), 1, ALIAS_LIMIT).alias("aliases"), F.when(F.col("destination_country") != "", F.col("destination_country")).otherwise(F.col("country")).alias("destination_country"), "eccn", "item_description", "end_use",
     )
-    why = F.filter(F.array(F.when(F.col("name") == "", "blank name"), F.when(F.col("ragged"), "ragged row"), F.when(F.length("name") > NAME_LIMIT, "name cut")), lambda x: x.isNotNull())
+    why = F.filter(F.array(F.when(F.col("name") == "", "blank name"), F.when(F.col("ragged"), "ragged row"), F.when(F.length("name") > NAME_LIMIT, "name cut"), F.when(F.size(split_multi(F.col("aliases"))) > ALIAS_LIMIT, "aliases cut")), lambda x: x.isNotNull())
     return subjects, got.select("path", "row_no", F.explode(why).alias("warning"))
 
 
@@ -147,19 +153,24 @@ def dedupe(parties: DataFrame) -> DataFrame:
 
 #: Fields of the headed lists and the headers that stand for them.
 LIST_FIELDS = {
-    "native_id": "entity_number id", "source_label": "source list", "name": "name entity_name", "party_type": "type entity_type", "programs": "programs program", "aliases": "alt_names aliases aka",
-    "addresses": "addresses address", "countries": "countries country", "remarks": "remarks action", "federal_register": "federal_register_notice fr_citation", "begin": "start_date effective_date", "end": "end_date expiration_date",
-    "license_requirement": "license_requirement", "license_policy": "license_policy license_review_policy", "ids": "ids",
+    "native_id": "entity_number entity_num", "row_id": "id _id", "source_label": "source source_list list", "name": "name entity_name listed_name", "party_type": "type entity_type sdn_type", "programs": "programs program sanctions_programs",
+    "aliases": "alt_names alternate_names aka alt_name alias aliases alternate_name", "addresses": "addresses address street_address", "city": "city", "state": "state", "postal_code": "postal_code", "countries": "countries country nationalities citizenships",
+    "remarks": "remarks notes comment", "action": "action", "standard_order": "standard_order", "federal_register": "federal_register_notice fr_citation federal_register", "begin": "start_date effective_date date", "end": "end_date expiration_date",
+    "source_url": "source_list_url source_information_url url", "license_requirement": "license_requirement license_requirements", "license_policy": "license_policy license_review_policy", "ids": "ids identifications id_numbers",
+    "dates_of_birth": "dates_of_birth date_of_birth dob", "places_of_birth": "places_of_birth place_of_birth pob", "title": "title", "call_sign": "call_sign", "vessel_flag": "vessel_flag", "vessel_owner": "vessel_owner", "vessel_type": "vessel_type",
 }
+#: What tells two of the same name apart is put among the ids, under these labels.
+DISCRIMINATORS = {"dates_of_birth": "DOB", "places_of_birth": "POB", **{c: c.replace("_", " ") for c in ("title", "call_sign", "vessel_flag", "vessel_owner", "vessel_type")}}
+_BIS, _TREASURY, _STATE = (f" - {x}" for x in ("bureau of industry and security", "treasury department", "state department"))
 #: Exact labels only: a near miss is UNKNOWN, never a neighbour's list.
-LABELS = dict(
-    pair.split("=")
-    for pair in (
-        "denied persons list=DPL|denied persons list (dpl)=DPL|entity list=EL|entity list (el)=EL|unverified list=UVL|unverified list (uvl)=UVL|military end user=MEU|military end user (meu) list=MEU"
-        "|specially designated nationals=SDN|specially designated nationals (sdn)=SDN|sectoral sanctions identifications list (ssi)=NONSDN|foreign sanctions evaders (fse)=NONSDN"
-        "|nonproliferation sanctions (isn)=ISN|itar debarred (dtc)=DTC"
-    ).split("|")
-)
+LABELS = {
+    **{x: "DPL" for x in ("denied persons list", "denied persons list (dpl)" + _BIS)}, **{x: "EL" for x in ("entity list", "entity list (el)" + _BIS)},
+    **{x: "UVL" for x in ("unverified list", "unverified list (uvl)" + _BIS)}, **{x: "MEU" for x in ("military end user list", "military end user (meu) list" + _BIS)},
+    **{x: "SDN" for x in ("sdn", "specially designated nationals (sdn)" + _TREASURY, "specially designated nationals list (sdn)" + _TREASURY)},
+    **{x: "NONSDN" for x in ("capta list", "sectoral sanctions identifications list (ssi)" + _TREASURY, "foreign sanctions evaders (fse)" + _TREASURY)},
+    **{f"non-sdn {x}": "NONSDN" for x in ("menu-based sanctions list (ns-mbs list)", "chinese military-industrial complex companies list (ns-cmic)", "palestinian legislative council list (ns-plc)")},
+    "itar debarred (dtc)" + _STATE: "DTC", "nonproliferation sanctions (isn)" + _STATE: "ISN",
+}
 EFFECT = {"DPL": "no participation", "SDN": "blocked", "NONSDN": "partly restricted", "EL": "license needed", "MEU": "license needed", "UVL": "statement needed", "ISN": "sanctioned", "DTC": "debarred"}
 
 
@@ -173,24 +184,79 @@ def effect(code: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in EFFECT.items() for x in p]), code), F.lit("unknown list: treat as restricted until told"))
 
 
-def headed_list(spark: SparkSession, path: str, delimiter: str = ",", code: str | None = None, ordinal_ids: bool = False, forced_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+def headed_list(spark: SparkSession, path: str, delimiter: str = ",", code: str | None = None, ordinal_ids: bool = False, forced_type: str | None = None, only: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(parties, rejects) of a list with a header; blank names are rejected, ordinals count them too.
 
-    ``code`` names a single-list file; without it the source column decides. ``ordinal_ids`` makes the row
-    ordinal the id, as for the tab-delimited orders list, beside a hash of the content that outlives a reissue.
+    ``code`` names a single-list file; without it the source column decides, and ``only`` keeps one list of several.
+    ``ordinal_ids`` makes the row ordinal the id, as for the tab-delimited orders list, beside a hash of the content
+    that outlives a reissue. A file without a name column is refused.
     """
-    rows = headed(records(spark, path, delimiter))
+    read = records(spark, path, delimiter)
+    known = F.exists(headers_of(F.col("fields")), lambda h: h.isin(*LIST_FIELDS["name"].split()))
+    nameless = [r["path"] for r in read.filter("row_no = 1").filter(~known).select("path").limit(3).collect()]
+    if nameless:
+        raise ValueError(f"no name column in {nameless}")
+    rows = headed(read)
     got = rows.select("path", "row_no", "raw", *[clean(field(v)).alias(k) for k, v in LIST_FIELDS.items()])
     source = F.lit(code) if code else list_code(F.col("source_label"))
     ordinal = (F.col("row_no") - 1).cast("string")
-    native = ordinal if ordinal_ids else F.when(F.col("native_id") != "", F.col("native_id")).otherwise(F.concat(F.lit("row"), ordinal))
-    notes = F.array_join(F.filter(F.array("remarks", "license_requirement", "license_policy"), lambda x: x != ""), "; ")
+    given = F.coalesce(F.nullif("native_id", F.lit("")), F.nullif("row_id", F.lit("")))
+    native = ordinal if ordinal_ids else F.coalesce(given, F.concat(F.lit("row"), F.col("row_no") - 2))
+    notes = F.array("remarks", "action", *[F.when(F.col(c) != "", F.concat(F.lit(c.replace("_", " ") + ": "), F.col(c))).otherwise("") for c in ("license_requirement", "license_policy")])
+    place = F.array_join(F.filter(F.array("addresses", "city", "state", "postal_code", "countries"), lambda x: x != ""), ", ")
+    # an orders list has its address in parts, which make one line
+    addresses = F.when((F.col("city") != "") | (F.col("state") != "") | (F.col("postal_code") != ""), F.filter(F.array(place), lambda x: x != "")).otherwise(split_multi(F.col("addresses")))
+    under = lambda label: lambda v: F.concat(F.lit(f"{label}: "), v)
+    labelled = F.flatten(F.array(*[F.transform(split_multi(F.col(c)), under(n)) for c, n in DISCRIMINATORS.items()]))
     parties = got.filter("name <> ''").select(
         F.concat_ws(":", source, native).alias("uid"), source.alias("source"), native.alias("native_id"), "name", (F.lit(forced_type) if forced_type else party_type(F.col("party_type"))).alias("party_type"),
-        *[split_multi(F.col(c)).alias(c) for c in ("aliases", "addresses", "countries", "programs", "ids")], notes.alias("remarks"), "federal_register", "begin", "end", F.col("row_no").alias("ord"),
+        split_multi(F.col("aliases")).alias("aliases"), addresses.alias("addresses"), *[split_multi(F.col(c)).alias(c) for c in ("countries", "programs")], F.concat(split_multi(F.col("ids")), labelled).alias("ids"),
+        F.array_join(F.filter(notes, lambda x: x != ""), " | ").alias("remarks"), "federal_register", "begin", "end", "standard_order", "source_url", F.col("row_no").alias("ord"),
         F.sha2(F.concat_ws("|", F.map_values("raw")), 256).alias("content_hash"),
     )
-    return parties, got.filter("name = ''").select("path", "row_no")
+    return (parties.filter(F.col("source") == only) if only else parties), got.filter("name = ''").select("path", "row_no")
+
+
+def ragged_report(spark: SparkSession, path: str, delimiter: str = ",", most: int = 3) -> DataFrame:
+    """(path, ragged, first): how many rows of each file differ from its header, and the first of them described."""
+    bad = headed(records(spark, path, delimiter)).filter("ragged")
+    told = F.concat(F.lit("row "), F.col("row_no"), F.lit(": "), F.size("fields"), F.lit(" of "), F.size("header"), F.lit(" fields"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("row_no"))
+    some = bad.withColumn("place", place).groupBy("path").agg(F.count("*").alias("ragged"), F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("row_no", told.alias("told"))))).alias("first"))
+    return some.select("path", "ragged", F.array_join(F.transform("first", lambda x: x["told"]), "; ").alias("first"))
+
+
+def odd_widths(spark: SparkSession, path: str) -> DataFrame:
+    """(row_no, columns) of the headerless list's rows that don't have its twelve columns."""
+    return records(spark, path).filter(F.size("fields") != len(SDN)).select("row_no", F.size("fields").alias("columns"))
+
+
+def parse_cached(spark: SparkSession, folder: str, codes: list[str]) -> DataFrame:
+    """All parties of the cached files of several lists, one folder a code, without repeated uids.
+
+    SDN takes its side files SDN_ALT and SDN_ADD in; these give no parties of their own.
+    """
+    parts = []
+    for code in codes:
+        at = f"{folder}/{code}"
+        if code in ("SDN", "NONSDN"):
+            one = sdn(spark, at, code)
+            if {"SDN_ALT", "SDN_ADD"} <= set(codes) and code == "SDN":
+                one = with_side_files(one, spark, f"{folder}/SDN_ALT", f"{folder}/SDN_ADD")
+        elif code in ("SDN_ALT", "SDN_ADD"):
+            continue
+        elif code == "DPL":
+            one = headed_list(spark, at, "\t", code="DPL", ordinal_ids=True)[0]
+        elif code in ("EL", "UVL", "MEU"):
+            one = headed_list(spark, at, code=code, forced_type="entity")[0]
+        else:
+            one = headed_list(spark, at)[0]
+        parts.append(one)
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    none = F.array().cast("array<string>")
+    for c in ("aliases", "addresses", "countries"):
+        every = every.withColumn(c, F.coalesce(c, none) if c in every.columns else none)
+    return dedupe(every)
 
 
 def unknown_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ def flat(results: DataFrame) -> DataFrame:
 
 
 def write_csv(results: DataFrame, path: str) -> None:
-    ordered(flat(results)).write.mode("overwrite").option("header", True).csv(path)
+    ordered(flat(results)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(results: DataFrame, path: str) -> None:

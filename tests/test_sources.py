@@ -61,14 +61,41 @@ def test_worklist(spark):
 
 def test_headed_lists(spark, tmp_path):
     (tmp_path / "c").mkdir()
-    (tmp_path / "c" / "x.csv").write_text('id,source,entity_number,type,name,alt_names,countries,license_policy\na,Entity List (EL),7,Entity,"Alpha, Ltd",A; B,DE,denial\nb,Entity Lists,,Vessel,Beta,,,\nc,Entity List,,,,,,\n')
+    (tmp_path / "c" / "x.csv").write_text('id,source,entity_number,type,name,alt_names,countries,license_policy\na,Entity List (EL) - Bureau of Industry and Security,7,Entity,"Alpha, Ltd",A; B,DE,denial\nb,Entity Lists,,Vessel,Beta,,,\nc,Entity List,,,,,,\n')
     parties, rejects = D.headed_list(spark, str(tmp_path / "c"))
     got = {r["uid"]: r for r in parties.collect()}
-    assert set(got) == {"EL:7", "UNKNOWN:b"} or set(got) == {"EL:7", "UNKNOWN:row2"}
-    assert got["EL:7"]["aliases"] == ["A", "B"] and got["EL:7"]["remarks"] == "denial" and got["EL:7"]["party_type"] == "entity"
+    assert set(got) == {"EL:7", "UNKNOWN:b"}
+    assert got["EL:7"]["aliases"] == ["A", "B"] and got["EL:7"]["remarks"] == "license policy: denial" and got["EL:7"]["party_type"] == "entity"
     assert [r["row_no"] for r in rejects.collect()] == [4]
     assert [r["label"] for r in D.unknown_labels(spark, str(tmp_path / "c")).collect()] == ["Entity Lists"]
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "x.txt").write_text("Name\tEffective_Date\n\t1/1/2020\nZed\t2/1/2024\n")
     orders, _ = D.headed_list(spark, str(tmp_path / "t"), "\t", code="DPL", ordinal_ids=True)
     assert [(r["uid"], r["begin"]) for r in orders.collect()] == [("DPL:2", "2/1/2024")]
+
+
+def test_discriminators_addresses_and_refusal(spark, tmp_path):
+    for name, text in {"c": "Name,Source,DOB,Vessel Flag,IDs\nAnn,SDN,1970; 1971,PA,p 1\n", "t": "Name\tStreet_Address\tCity\tState\tCountry\tPostal_Code\tAction\nZed\t1 A St\tTown\tTX\tUS\t7\tdenied\n", "n": "who,what\na,b\n", "r": "name,country\na\nb,DE,x\nc,FR\nd\ne\n"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text(text)
+    one = D.headed_list(spark, str(tmp_path / "c"))[0].first()
+    assert one["uid"] == "SDN:row0" and one["ids"] == ["p 1", "DOB: 1970", "DOB: 1971", "vessel flag: PA"]
+    order = D.headed_list(spark, str(tmp_path / "t"), "\t", code="DPL", ordinal_ids=True)[0].first()
+    assert order["addresses"] == ["1 A St, Town, TX, 7, US"] and order["remarks"] == "denied"
+    with pytest.raises(ValueError, match="no name column"):
+        D.headed_list(spark, str(tmp_path / "n"))
+    told = D.ragged_report(spark, str(tmp_path / "r")).first()
+    assert told["ragged"] == 4 and told["first"] == "row 2: 1 of 2 fields; row 3: 3 of 2 fields; row 5: 1 of 2 fields"
+
+
+def test_json_lines_manifest_and_offline_refresh(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "x", "n": 1}\n\n[1]\n{bad\n{"id": "y"}\n')
+    rows, errors = S.json_lines(spark, str(tmp_path / "a.jsonl"), "id string, n int")
+    assert [tuple(r) for r in rows.orderBy("line").collect()] == [(1, "x", 1), (5, "y", None)]
+    assert [tuple(r) for r in errors.orderBy("line").collect()] == [(3, "no object"), (4, "no JSON")]
+    S.write_manifest({"total": 2, "é": []}, str(tmp_path / "m.json"))
+    assert S.read_manifest(str(tmp_path / "m.json")) == {"total": 2, "é": []}
+    files = spark.createDataFrame([("SDN", "h1", "2026-01-05 00:00:00"), ("DPL", "h2", "2026-01-05 00:00:00"), ("EL", "h3", "2999-01-05 00:00:00")], "code string, sha256 string, modified string").withColumn("modified", F.col("modified").cast("timestamp"))
+    prior = spark.createDataFrame([("SDN", "h1", "2025-12-01 00:00:00"), ("DPL", "other", "2025-12-01 00:00:00")], "code string, sha256 string, fetched_at string")
+    got = {r["code"]: (r["fetched_at"][:10], r["warning"]) for r in S.refresh_offline(files, prior).collect()}
+    assert got == {"SDN": ("2025-12-01", None), "DPL": ("2026-01-05", "no prior entry: the file's own time"), "EL": ("2999-01-05", "dated in the future")}
