@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from partylens.operators.constraints import duplicates, outside, requires, together, violations
 
-#: Planes of evidence and the class that what they show belongs to.
-PLANES = {"ui": "structure", "schema": "structure", "config": "structure", "docs": "structure", "api": "structure", "logs": "runtime", "audit": "runtime", "telemetry": "runtime", "exports": "runtime", "billing": "runtime", "interview": "testimony", "survey": "testimony"}
-
-
 def required_files(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """V-01: required files (path) that aren't there."""
     return violations(wanted.join(found.select("path").distinct(), "path", "left_anti"), "V-01", "path", "required file is missing")

@@ -60,6 +60,10 @@ def typed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ])
 
 
+#: Why a feature was never used.
+UNUSED_REASONS = ("never-needed", "too-complex", "duplicate", "wrong-fit", "configured-never-enabled", "unknown")
+
+
 def usage_rules(features: DataFrame) -> DataFrame:
     """V-10 to V-12 and C-01 to C-04 over features with evidence ARRAY<STRUCT<evidence_class, supports, coverage>>."""
     def any_of(f):
@@ -75,7 +79,7 @@ def usage_rules(features: DataFrame) -> DataFrame:
         requires(features, "V-12", "id", usage == "unknown", verdict.isNull() | (verdict == "DEFER"), "unknown usage with a verdict"),
         requires(features, "C-01", "id", verdict.isNotNull(), (F.col("why") != "") & supports("verdict"), "verdict without reason or evidence"),
         requires(features, "C-02", "id", usage != "unknown", supports("usage"), "usage without evidence"),
-        requires(features, "C-03", "id", usage == "never", F.col("unused_reason").isNotNull(), "never used, without reason"),
+        requires(features, "C-03", "id", usage == "never", F.col("unused_reason").isin(*UNUSED_REASONS), "never used, without reason"),
         requires(features, "C-04", "id", F.col("criticality") == "critical", (F.size("business_processes") > 0) & supports("criticality"), "critical without process or evidence"),
     ])
 

@@ -116,6 +116,63 @@ def roots(derived: DataFrame) -> DataFrame:
     return now.filter("done").select("id", F.col("up").alias("root"))
 
 
+def bridges(nodes: DataFrame, edges: DataFrame, most: int = 2000) -> DataFrame:
+    """(a, b) undirected edges whose removal parts their ends. All removals are labelled at once; refused for over ``most`` edges."""
+    pairs = cut(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct())
+    if pairs.count() > most:
+        raise ValueError(f"bridges are for graphs of at most {most} edges")
+    gone = pairs.select(F.struct("a", "b").alias("removed"))
+    at = lambda c: F.struct("removed", F.col(c).alias("id"))
+    left = gone.crossJoin(pairs).filter((F.col("removed.a") != F.col("a")) | (F.col("removed.b") != F.col("b")))
+    parts = components(gone.crossJoin(nodes.select("id")).select(at("id").alias("id")), left.select(at("a").alias("src"), at("b").alias("dst")))
+    ends = parts.select("id.removed", F.col("id.id").alias("node"), "component")
+    one, two = ends.filter("node = removed.a"), ends.filter("node = removed.b").select("removed", F.col("component").alias("other"))
+    return one.join(two, "removed").filter("component <> other").select("removed.a", "removed.b")
+
+
+def order_sensitivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, observed, conservative, moved): levels by observed edges alone and with structural ones, of (src, dst, runtime_status)."""
+    seen = levels(nodes, edges.filter("runtime_status = 'observed'").select("src", "dst")).withColumnRenamed("level", "observed")
+    every = levels(nodes, edges.select("src", "dst")).withColumnRenamed("level", "conservative")
+    return seen.join(every, "id").select("id", "observed", "conservative", (F.col("observed") != F.col("conservative")).alias("moved"))
+
+
+def verdict_mismatches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, problem) of nodes (id, verdict, critical) and dependencies (src needs dst): what to settle before verdicts are carried out."""
+    reach = reachable(edges).select("src", "dst")
+    kept = nodes.filter("verdict = 'KEEP'").select(F.col("id").alias("src"))
+    needed = reach.join(kept, "src").select(F.col("dst").alias("id")).distinct()
+    critical = nodes.filter("critical").select(F.col("id").alias("goal"))
+    paths = reach.select(F.col("src").alias("goal"), F.col("dst").alias("id")).union(reach.select(F.col("dst"), F.col("src"))).join(critical, "goal").select("id").union(critical.select("goal")).distinct()
+    told = lambda df, what: df.select("id", F.lit(what).alias("problem"))
+    parts = [
+        told(nodes.filter("verdict = 'DROP'").join(needed, "id", "left_semi"), "dropped, yet needed by what is kept"),
+        told(nodes.filter("verdict = 'KEEP'").join(paths, "id", "left_anti"), "kept without a path to anything critical"),
+        told(nodes.filter("verdict = 'DEFER'").join(needed, "id", "left_semi"), "deferred, yet needed by what is kept"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def cover(offers: DataFrame, most: int = 100_000) -> DataFrame:
+    """(step, key): a greedy cover of all items of (key, item): most uncovered first, then the least key.
+
+    A round is one aggregate; only the items that are covered by now come to the driver, so the universe of items
+    must be small (``most``), not the offers.
+    """
+    offers = cut(offers.select("key", "item").distinct())
+    if offers.select("item").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"a cover is for at most {most} items")
+    chosen, left = [], offers
+    while True:
+        best = left.groupBy("key").agg(F.count("*").alias("n"), F.collect_set("item").alias("items")).orderBy(F.desc("n"), "key").first()
+        if best is None:
+            break
+        chosen.append((len(chosen) + 1, best["key"]))
+        left = cut(left.filter(~F.col("item").isin(list(best["items"]))))
+    kind = offers.schema["key"].dataType.simpleString()
+    return offers.sparkSession.createDataFrame(chosen, f"step int, key {kind}")
+
+
 def greedy_cover(required: set[str], offers: dict[str, set[str]]) -> list[str]:
     """A heuristic set cover: most uncovered first, then by name. Small sets, on the driver."""
     chosen, missing = [], set(required)

@@ -130,3 +130,18 @@ def window_check(log: DataFrame, factor: float = 3) -> DataFrame:
     cases = log.groupBy("case_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).withColumn("d", _seconds("a", "b"))
     out = cases.agg(F.percentile("d", F.lit(0.5)).alias("median"), F.min("a").alias("a"), F.max("b").alias("b"))
     return out.select(F.round("median", 3).alias("median_seconds"), F.round(_seconds("a", "b"), 3).alias("window_seconds"), (_seconds("a", "b") >= factor * F.col("median")).alias("sufficient"))
+
+
+def settled(log: DataFrame, go_live: str, burst: int) -> DataFrame:
+    """The log without cases that began before go-live and without minutes of ``burst`` events or more, which are backfill."""
+    began = log.groupBy("case_id").agg(F.min("ts").alias("began")).filter(F.col("began") >= F.lit(go_live).cast("timestamp_ntz")).select("case_id")
+    minute = F.date_format(F.date_trunc("minute", "ts"), "yyyy-MM-dd HH:mm")
+    kept = log.join(began, "case_id", "left_semi").withColumn("minute", minute)
+    return kept.join(bursts(log, burst).select("minute"), "minute", "left_anti").drop("minute")
+
+
+def variant_health(log: DataFrame, top: int = 5, share: float = 0.6) -> DataFrame:
+    """The share of cases that the most frequent variants cover, and whether it is too small for a process."""
+    v = variants(log)
+    best = v.orderBy(F.desc("cases"), "variant").limit(top).agg(F.sum("cases").alias("covered"))
+    return best.crossJoin(v.agg(F.sum("cases").alias("total"), F.count("*").alias("variants"))).select("variants", F.round(F.col("covered") / F.col("total"), 6).alias("coverage"), (F.col("covered") / F.col("total") < share).alias("scattered"))

@@ -69,3 +69,39 @@ def regimes(facts: DataFrame, changes: DataFrame, at: str, begin: str) -> DataFr
     both = facts.withColumn("_t", F.col(at)).unionByName(changes.withColumn("_t", F.col(begin)), allowMissingColumns=True)
     order = Window.partitionBy("scope").orderBy(F.col("_t"), F.col(begin).isNull()).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("regime", F.last("regime", ignorenulls=True).over(order)).filter(F.col(begin).isNull()).drop("_t", begin)
+
+
+#: The class of evidence that a plane gives. Walks through the interface and exports have the class of what they show.
+PLANE_CLASS = {
+    **{p: "runtime" for p in ("transactional", "telemetry", "integration-inventory")},
+    **{p: "structure" for p in ("config-census", "master-data", "setup-census", "code-analysis")}, **{p: "human" for p in ("interview", "contract", "document")},
+}
+
+
+def evidence_class(plane: Column, shown: Column) -> Column:
+    """A plane's class; of a route (ui-walk, export) that of the plane it shows; null where unknown."""
+    table = F.create_map(*[F.lit(x) for p in PLANE_CLASS.items() for x in p])
+    return F.element_at(table, F.when(plane.isin("ui-walk", "export"), shown).otherwise(plane))
+
+
+def segment_range(pages: Column, page_size: Column) -> Column:
+    """How many rows a list of so many pages can have: a range, as the last page is full or holds one row."""
+    return F.when(pages <= 0, F.struct(F.lit(0).cast("long").alias("least"), F.lit(0).cast("long").alias("most"))).otherwise(F.struct(((pages - 1) * page_size + 1).cast("long").alias("least"), (pages * page_size).cast("long").alias("most")))
+
+
+def containing(texts: DataFrame, text_id: str, text: str, items: DataFrame, item_id: str, item: str, words: int = 4) -> DataFrame:
+    """(text id, item id) of the texts that hold an item to the letter.
+
+    Words inside of an item are words of the text, too, so both meet by a hash of ``words`` consecutive ones behind the
+    item's first; only what meets is compared as a whole. Items of too few words are compared with every text.
+    """
+    split = lambda c: F.split(c, " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(*[F.element_at("w", i + k) for k in range(words)]))
+    own = items.select(item_id, F.col(item).alias("__item"), split(F.col(item)).alias("w"))
+    long, short = own.filter(F.size("w") >= words + 2), own.filter(F.size("w") < words + 2)
+    keys = long.select(item_id, "__item", F.xxhash64(*[F.element_at("w", 2 + k) for k in range(words)]).alias("__key"))
+    places = texts.select(text_id, split(F.col(text)).alias("w")).filter(F.size("w") >= words).select(text_id, F.explode(F.array_distinct(runs)).alias("__key"))
+    pairs = places.join(keys.select("__key", item_id, "__item"), "__key").select(text_id, item_id, "__item").distinct()
+    met = pairs.join(texts.select(text_id, F.col(text).alias("__text")), text_id).filter(F.contains("__text", "__item")).select(text_id, item_id)
+    rest = texts.select(text_id, F.col(text).alias("__text")).join(short, F.contains("__text", "__item")).select(text_id, item_id)
+    return met.unionByName(rest)

@@ -80,3 +80,9 @@ def exit_code(results: DataFrame) -> int:
     """3 if anything is blocked, 2 if a person must look, else 0."""
     row = results.agg(F.max(lookup(RANK, "disposition")).alias("worst"), F.max((F.col("disposition") == "BLOCKED").cast("int")).alias("blocked")).first()
     return 3 if row["blocked"] else 2 if row["worst"] else 0
+
+
+def diff_exit_code(changes: DataFrame) -> int:
+    """3 if a run has new hits, 2 if a case changed, else 0."""
+    kinds = {r["change"] for r in changes.filter(F.col("change").isin("NEW_HIT", "CHANGED")).select("change").distinct().collect()}
+    return 3 if "NEW_HIT" in kinds else 2 if kinds else 0

@@ -71,7 +71,7 @@ def typed_edges(spark, d):
 
 
 _FEATURES = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'never' WHEN 1 THEN 'unknown' WHEN 2 THEN 'weekly' END AS usage, CASE p_partkey % 3 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'DEFER' END AS verdict, CASE WHEN p_size > 5 THEN 'because' ELSE '' END AS why,
-CASE WHEN p_size % 2 = 0 THEN 'superseded' END AS reason, CASE WHEN p_size > 40 THEN 'critical' ELSE 'normal' END AS crit, p_size % 7 AS procs, p_size % 5 = 0 AS runtime, p_size % 10 = 0 AS all_time, p_partkey % 2 = 0 AS sv, p_size % 5 <= 1 AS su, p_size % 4 = 0 AS sc FROM part"""
+CASE WHEN p_size % 4 = 0 THEN 'duplicate' WHEN p_size % 2 = 0 THEN 'superseded' END AS reason, CASE WHEN p_size > 40 THEN 'critical' ELSE 'normal' END AS crit, p_size % 7 AS procs, p_size % 5 = 0 AS runtime, p_size % 10 = 0 AS all_time, p_partkey % 2 = 0 AS sv, p_size % 5 <= 1 AS su, p_size % 4 = 0 AS sc FROM part"""
 
 
 @query(f"""WITH f AS ({_FEATURES}) SELECT 'V-10' AS check_id, CAST(id AS VARCHAR) AS entity_id, 'usage without runtime evidence' AS message FROM f WHERE usage <> 'unknown' AND NOT (runtime AND su)
@@ -79,7 +79,7 @@ UNION ALL SELECT 'V-11', CAST(id AS VARCHAR), 'never used, without evidence of a
 UNION ALL SELECT 'V-12', CAST(id AS VARCHAR), 'unknown usage with a verdict' FROM f WHERE usage = 'unknown' AND verdict IS NOT NULL AND verdict <> 'DEFER'
 UNION ALL SELECT 'C-01', CAST(id AS VARCHAR), 'verdict without reason or evidence' FROM f WHERE verdict IS NOT NULL AND NOT (why <> '' AND sv)
 UNION ALL SELECT 'C-02', CAST(id AS VARCHAR), 'usage without evidence' FROM f WHERE usage <> 'unknown' AND NOT su
-UNION ALL SELECT 'C-03', CAST(id AS VARCHAR), 'never used, without reason' FROM f WHERE usage = 'never' AND reason IS NULL
+UNION ALL SELECT 'C-03', CAST(id AS VARCHAR), 'never used, without reason' FROM f WHERE usage = 'never' AND coalesce(reason, '') NOT IN ('never-needed', 'too-complex', 'duplicate', 'wrong-fit', 'configured-never-enabled', 'unknown')
 UNION ALL SELECT 'C-04', CAST(id AS VARCHAR), 'critical without process or evidence' FROM f WHERE crit = 'critical' AND NOT (procs > 0 AND sc)""")
 def usage_constraints(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
@@ -88,7 +88,7 @@ def usage_constraints(spark, d):
     evidence = F.array(F.struct(F.when(s % 5 == 0, "runtime").otherwise("structural").alias("evidence_class"), supports.alias("supports"), F.when(s % 10 == 0, "all-time").otherwise("window").alias("coverage")))
     f = t(spark, d, "part").select(
         k.alias("id"), F.when(k % 4 == 0, "never").when(k % 4 == 1, "unknown").when(k % 4 == 2, "weekly").otherwise(none).alias("usage"), F.when(k % 3 == 0, "KEEP").when(k % 3 == 1, "DEFER").alias("verdict"),
-        F.when(s > 5, "because").otherwise("").alias("why"), F.when(s % 2 == 0, "superseded").alias("unused_reason"), F.when(s > 40, "critical").otherwise("normal").alias("criticality"),
+        F.when(s > 5, "because").otherwise("").alias("why"), F.when(s % 4 == 0, "duplicate").when(s % 2 == 0, "superseded").alias("unused_reason"), F.when(s > 40, "critical").otherwise("normal").alias("criticality"),
         F.array_repeat(F.lit("p"), (s % 7).cast("int")).alias("business_processes"), evidence.alias("evidence"),
     )
     return C.usage_rules(f)
@@ -121,9 +121,8 @@ def alias_orphans(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def holdout_contamination(spark, d):
-    """Items that stand in documents to the letter; the item side is broadcast below its size limit by the planner."""
-    docs, items = t(spark, d, "documents"), t(spark, d, "benchmark").withColumnRenamed("text", "item")
-    return docs.join(items, F.contains("text", "item")).select("doc_id", "item_id")
+    """Items that stand in documents to the letter."""
+    return P.containing(t(spark, d, "documents"), "doc_id", "text", t(spark, d, "benchmark"), "item_id", "text")
 
 
 @query("""WITH x AS (SELECT o_orderkey, o_orderpriority || ' ; ' || o_orderstatus || '|-0-' AS raw FROM orders) SELECT o_orderkey, array_to_string(list_filter(list_transform(string_split_regex(raw, '[;|]'), lambda v: trim(v)), lambda v: v <> ''), ',') AS parts, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE trim(raw) END AS cleaned FROM x""")
@@ -224,11 +223,38 @@ def topo_levels(spark, d):
     return G.levels(*_graph(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_G}, u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), r(x, a, b) AS (SELECT m.n_nationkey, n.n_nationkey, n.n_nationkey FROM nation m, nation n WHERE m.n_nationkey <> n.n_nationkey UNION SELECT r.x, r.a, u.b FROM r JOIN u ON u.a = r.b WHERE u.b <> r.x),
+c AS (SELECT x, a, min(b) AS c FROM r GROUP BY x, a), l AS (SELECT x, count(DISTINCT c) AS n FROM c GROUP BY x), w(a, b) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT w.a, u.b FROM w JOIN u ON u.a = w.b), k AS (SELECT count(DISTINCT c) AS n FROM (SELECT a, min(b) AS c FROM w GROUP BY a))
+SELECT CAST(x AS BIGINT) AS id, l.n - k.n + 1 AS parts FROM l, k WHERE l.n > k.n - CASE WHEN x NOT IN (SELECT a FROM u) THEN 1 ELSE 0 END""")
 def articulation(spark, d):
     return G.cut_points(*_graph(spark, d))
 
 
+@query(f"""WITH RECURSIVE {_G}, e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM g WHERE src <> dst), u AS (SELECT a AS p, b AS q, a, b FROM e UNION SELECT b, a, a, b FROM e),
+r(a, b, n) AS (SELECT a, b, a FROM e UNION SELECT r.a, r.b, u.q FROM r JOIN u ON u.p = r.n WHERE u.a <> r.a OR u.b <> r.b) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = e.a AND r.b = e.b AND r.n = e.b)""")
+def graph_bridges(spark, d):
+    return G.bridges(*_graph(spark, d))
+
+
+_VERDICTS = f"v AS (SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'DROP' WHEN 2 THEN 'DEFER' END AS verdict, n_nationkey % 6 = 0 AS critical FROM nation), p AS (SELECT DISTINCT src, dst FROM r), needed AS (SELECT DISTINCT dst AS id FROM p JOIN v ON v.id = src AND verdict = 'KEEP'), paths AS (SELECT dst AS id FROM p JOIN v ON v.id = src AND critical UNION SELECT src FROM p JOIN v ON v.id = dst AND critical UNION SELECT id FROM v WHERE critical)"
+
+
+@query(f"""{_REACH_SQL}, {_VERDICTS} SELECT CAST(id AS BIGINT) AS id, 'dropped, yet needed by what is kept' AS problem FROM v WHERE verdict = 'DROP' AND id IN (SELECT id FROM needed) UNION ALL SELECT id, 'kept without a path to anything critical' FROM v WHERE verdict = 'KEEP' AND id NOT IN (SELECT id FROM paths) UNION ALL SELECT id, 'deferred, yet needed by what is kept' FROM v WHERE verdict = 'DEFER' AND id IN (SELECT id FROM needed)""")
+def verdict_mismatches(spark, d):
+    n, e = _graph(spark, d)
+    verdict = F.when(F.col("id") % 4 == 0, "KEEP").when(F.col("id") % 4 == 1, "DROP").when(F.col("id") % 4 == 2, "DEFER")
+    return G.verdict_mismatches(n.select("id", verdict.alias("verdict"), (F.col("id") % 6 == 0).alias("critical")), e)
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b, n_nationkey % 3 = 0 AS seen FROM nation WHERE n_nationkey < 20), lo(id, l) AS (SELECT n_nationkey, 0 FROM nation UNION SELECT b, l + 1 FROM lo JOIN e ON a = id WHERE seen), hi(id, l) AS (SELECT n_nationkey, 0 FROM nation UNION SELECT b, l + 1 FROM hi JOIN e ON a = id)
+SELECT CAST(x.id AS BIGINT) AS id, CAST(x.l AS INTEGER) AS observed, CAST(y.l AS INTEGER) AS conservative, x.l <> y.l AS moved FROM (SELECT id, max(l) AS l FROM lo GROUP BY id) x JOIN (SELECT id, max(l) AS l FROM hi GROUP BY id) y USING (id)""")
+def order_sensitivity(spark, d):
+    """How far the order of work depends on edges that were only seen in the structure."""
+    n = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    e = n.filter("id < 20").select(F.col("id").alias("src"), (F.col("id") + 5).alias("dst"), F.when(F.col("id") % 3 == 0, "observed").otherwise("structural").alias("runtime_status"))
+    return G.order_sensitivity(n, e)
+
+
 @query(f"WITH {_NODES_SQL} SELECT CASE WHEN type IN ('reads', 'writes', 'joins-on') THEN to_id ELSE from_id END AS src, CASE WHEN type IN ('reads', 'writes', 'joins-on') THEN from_id ELSE to_id END AS dst, type FROM edges")
 def dependency_projection(spark, d):
     return G.dependencies(edges(spark, d))
@@ -263,10 +289,18 @@ def corroboration_roots(spark, d):
 @query()
 def set_cover(spark, d):
     """Suppliers that together offer every part size, greedily."""
-    rows = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.collect_set("p_size").alias("sizes")).collect()
-    offers = {f"{r['l_suppkey']:09d}": set(r["sizes"]) for r in rows}
-    chosen = G.greedy_cover(set().union(*offers.values()), offers)
-    return spark.createDataFrame([(i, int(k)) for i, k in enumerate(chosen, 1)], "step int, l_suppkey int")
+    offers = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("key"), F.col("p_size").alias("item"))
+    return G.cover(offers).withColumnRenamed("key", "l_suppkey")
+
+
+@query("""SELECT o_orderkey, ['transactional', 'ui-walk', 'interview', 'export', 'dreams'][o_orderkey % 5 + 1] AS plane, CASE o_orderkey % 5 WHEN 0 THEN 'runtime' WHEN 1 THEN 'structure' WHEN 2 THEN 'human' WHEN 3 THEN 'runtime' END AS class, CASE WHEN o_custkey % 10 = 0 THEN 0 ELSE (o_custkey % 10 - 1) * 50 + 1 END AS least, (o_custkey % 10) * 50 AS most FROM orders""")
+def evidence_classes(spark, d):
+    """Planes to classes of evidence, and the range of rows that a number of pages can hold."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 10
+    plane = lookup(dict(enumerate(["transactional", "ui-walk", "interview", "export", "dreams"])), (k % 5).cast("int"))
+    shown = F.when(k % 5 == 1, "config-census").otherwise("telemetry")
+    rows = t(spark, d, "orders").select("o_orderkey", plane.alias("plane"), P.evidence_class(plane, shown).alias("class"), P.segment_range(c, F.lit(50)).alias("r"))
+    return rows.select("o_orderkey", "plane", "class", "r.least", "r.most")
 
 
 # profiling

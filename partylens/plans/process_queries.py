@@ -157,3 +157,17 @@ def dfg_by_lane(spark, d):
     lane = F.when(F.col("user_id") % 3 == 0, "integration").otherwise("human")
     steps = P.with_next(log(spark, d).withColumn("lane", lane)).filter("next_activity is not null")
     return steps.groupBy("lane", F.col("activity").alias("from_activity"), F.col("next_activity").alias("to_activity")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_LOG}, ok AS (SELECT case_id FROM log GROUP BY case_id HAVING min(ts) >= (SELECT min(ts) FROM events) + INTERVAL 5 DAY), b AS (SELECT date_trunc('minute', ts) AS m FROM log GROUP BY 1 HAVING count(*) >= 2)
+SELECT event_id FROM log WHERE case_id IN (SELECT case_id FROM ok) AND date_trunc('minute', ts) NOT IN (SELECT m FROM b)""")
+def settled_log(spark, d):
+    """The log from five days after its first event on, without minutes of bulk entry."""
+    events = log(spark, d)
+    start = events.agg(F.min("ts").alias("a")).select(F.date_format(F.col("a") + F.expr("INTERVAL 5 DAYS"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+    return P.settled(events, start, 2).select("event_id")
+
+
+@query(f"WITH {_TRACES}, v AS (SELECT variant, count(*) AS cases FROM traces GROUP BY variant), b AS (SELECT sum(cases) AS c FROM (SELECT cases FROM v ORDER BY cases DESC, variant LIMIT 5)) SELECT count(*) AS variants, round(any_value(c) / sum(cases), 6) AS coverage, any_value(c) / sum(cases) < 0.6 AS scattered FROM v, b")
+def variant_health(spark, d):
+    return P.variant_health(log(spark, d))

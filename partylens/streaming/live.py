@@ -1,11 +1,13 @@
-"""Structured Streaming: screening at transaction time, windowed counts with watermarks, first-seen filters."""
+"""Structured Streaming: screening at transaction time, windowed counts with watermarks, first-seen filters, state by case."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partylens.functions import names as N
+from partylens.storage import fresh
 
 
 def events(spark: SparkSession, folder: str, files_a_trigger: int = 1) -> DataFrame:
@@ -36,9 +38,36 @@ def first_of(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFr
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives the result as a table."""
-    spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def case_progress(stream: DataFrame) -> DataFrame:
+    """(user_id, events, edges, last_type): a case's state carried across triggers: its events, directly-follows edges and last activity."""
+
+    def step(key, frames, state):
+        events, last, stamp = state.get if state.exists else (0, "", 0)
+        for frame in frames:
+            ordered = frame.sort_values(["ts", "event_id"])
+            events += len(ordered)
+            at = int(ordered["ts"].iloc[-1].value)
+            if at >= stamp:
+                last, stamp = str(ordered["event_type"].iloc[-1]), at
+        state.update((events, last, stamp))
+        yield pd.DataFrame({"user_id": [key[0]], "events": [events], "edges": [events - 1], "last_type": [last]})
+
+    out = "user_id long, events long, edges long, last_type string"
+    narrow = stream.select("user_id", "event_id", "event_type", "ts")
+    return narrow.groupBy("user_id").applyInPandasWithState(step, out, "events long, last string, stamp long", "update", "NoTimeout")
+
+
+def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there and gives the result as a table in the shared folder.
+
+    Its checkpoints stand in the shared folder as well, so a restarted run goes on where the last one ended. In
+    complete mode the table holds the last batch's result, else what all batches added, under the batch's number.
+    """
+    spark, path = stream.sparkSession, fresh(stream.sparkSession)
+
+    def put(batch: DataFrame, number: int) -> None:
+        # a batch that is run again replaces its own rows
+        batch.write.mode("overwrite").parquet(f"{path}/data" if mode == "complete" else f"{path}/data/batch={number}")
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/data").select(*stream.columns)
