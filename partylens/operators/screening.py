@@ -108,7 +108,7 @@ def likely_pairs(queries: DataFrame, names: DataFrame, cap: int = BLOCK_CAP) ->
     one. Acronyms meet as such. A pair must share a key within the cap as well.
     """
     postings = keys(names, "entry_id")
-    stand = standing(queries, postings, cap)
+    stand = cut(standing(queries, postings, cap))  # read six times below
     df = frequencies(postings)
 
     def placed(frame: DataFrame, one: str) -> DataFrame:
@@ -117,7 +117,7 @@ def likely_pairs(queries: DataFrame, names: DataFrame, cap: int = BLOCK_CAP) ->
         return frame.withColumn("place", F.row_number().over(own.orderBy("df", "key"))).withColumn("n", F.count("*").over(own).cast("int"))
 
     q = placed(stand, "query_id").select("query_id", "kind", "key", "place", "n")
-    l = placed(postings.join(df, ["kind", "key"]), "entry_id").select("entry_id", "kind", "key", "place", "n")
+    l = cut(placed(postings.join(df, ["kind", "key"]), "entry_id").select("entry_id", "kind", "key", "place", "n"))
     # the numbers of tokens that occur are few
     sizes = lambda frame, name: F.broadcast(frame.filter("kind = 0").agg(F.collect_set("n").alias(name)))
     a, b = F.col("a"), F.col("b")
@@ -135,6 +135,11 @@ def likely_pairs(queries: DataFrame, names: DataFrame, cap: int = BLOCK_CAP) ->
     qa, la = queries.select("query_id", plain.alias("qp"), initials.alias("qi")), names.select("entry_id", plain.alias("lp"), initials.alias("li"))
     by_acronym = qa.join(la, F.col("qp") == F.col("li")).select("query_id", "entry_id").unionByName(qa.join(la, F.col("qi") == F.col("lp")).select("query_id", "entry_id"))
     pairs = by_tokens.unionByName(by_skeleton).unionByName(by_acronym).distinct()
+    if stand.filter("not kept").isEmpty():
+        # no key is left out. Tokens and skeletons share a key by their making; acronyms needn't
+        apart = by_acronym.join(queries.select("query_id", F.col("toks").alias("t0"), F.split("skel", " ").alias("t1")), "query_id").join(names.select("entry_id", F.col("toks").alias("e0"), F.split("skel", " ").alias("e1")), "entry_id")
+        met = apart.filter(F.arrays_overlap("t0", "e0") | F.arrays_overlap("t1", "e1")).select("query_id", "entry_id")
+        return by_tokens.unionByName(by_skeleton).unionByName(met).distinct(), left_out(stand)
     # the keys within the cap, of queries that have others: a pair must share one of them
     bounded = stand.groupBy("query_id").agg(F.bool_and("kept").alias("all"), *[F.collect_set(F.when(F.col("kept") & (F.col("kind") == k), F.col("key"))).alias(n) for k, n in ((0, "within0"), (1, "within1"))])
     within = queries.select("query_id", F.col("toks").alias("t0"), F.split("skel", " ").alias("t1")).join(bounded.filter("not all").drop("all"), "query_id", "left")
@@ -240,7 +245,8 @@ def screen(subjects: DataFrame, parties: DataFrame, least: str = "WEAK", cap: in
     scored = score(pairs).withColumn("band", band()).withColumn("band_rank", band_rank())
     best = Window.partitionBy("subject_id", "uid").orderBy(F.desc("band_rank"), F.desc("score"), "query_id", "entry_id")
     kept = scored.filter(F.col("band_rank") >= BAND_RANK[least]).withColumn("rn", F.row_number().over(best)).filter("rn = 1")
-    kept = kept.join(told(cut_keys, queries), "subject_id", "left")
+    bounded = not cut_keys.isEmpty()
+    kept = kept.join(told(cut_keys, queries), "subject_id", "left") if bounded else kept.withColumn("left_out", F.lit(None).cast("string"))
     return kept.select("subject_id", "uid", "source", "listed_name", F.col("query_name").alias("matched_name"), "band", "band_rank", "score", *WEIGHTS, "skeleton_equal", "acronym", "discriminating", "left_out")
 
 
