@@ -143,7 +143,7 @@ def scan_dedupe(spark, d):
 _LINES = "WITH l AS (SELECT event_id, event_id % 4 AS m FROM events)"
 
 
-@query(f"{_LINES} SELECT CASE m WHEN 0 THEN 'no JSON' WHEN 1 THEN 'no object' ELSE 'row' END AS what, count(*) AS n, coalesce(sum(CASE WHEN m >= 2 THEN event_id END), 0) AS ids FROM l GROUP BY 1")
+@query(f"{_LINES} SELECT CASE m WHEN 0 THEN 'no JSON' WHEN 1 THEN 'no object' ELSE 'row' END AS what, count(*) AS n, CAST(coalesce(sum(CASE WHEN m >= 2 THEN event_id END), 0) AS BIGINT) AS ids FROM l GROUP BY 1")
 def scan_json_lines(spark, d):
     """A JSON-lines file with broken lines and lines that are no object, which are told by number."""
     k = F.col("event_id")
