@@ -88,6 +88,14 @@ def test_gradient():
         assert abs((up - down) / (2 * e) - g[name][at]) < 2e-3
 
 
+def test_both_classes_are_held_out_where_one_is_rare(spark, docs, prose):
+    texts, labels = sample(prose, 150, 0)
+    rows = [(i, t) for i, (t, y) in enumerate(zip(texts, labels)) if y] + [(1000 + i, prose(4000 + i, 20)) for i in range(900)]
+    told = spark.createDataFrame([(i, 1, int(i < 1000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = X.fit(docs(rows), told, max_labelled=100, steps=5)
+    assert model.held_out["toxic"] > 2 and model.held_out["clean"] > 2
+
+
 def scalar_logit(words, p):
     """One window's logit, number by number, as the equations of the network are written."""
     import math
