@@ -105,10 +105,10 @@ def dedupe_merge(spark, d):
     return r.groupBy("uid").agg(F.min_by("c_name", "c_custkey").alias("name"), F.min_by("c_mktsegment", "c_custkey").alias("program"), F.array_join(F.array_sort(F.collect_set(F.lower("c_name"))), ";").alias("aliases"), F.count("*").alias("merged"))
 
 
-@query("""WITH a AS (SELECT l_partkey AS ent, string_agg(l_orderkey || '-' || l_linenumber, ';' ORDER BY l_orderkey, l_linenumber, l_suppkey) AS aliases FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 GROUP BY l_partkey)
+@query("""WITH a AS (SELECT l_partkey AS ent, string_agg(l_orderkey || '-' || l_linenumber, ';' ORDER BY l_orderkey, l_linenumber, l_suppkey) AS aliases FROM lineitem GROUP BY l_partkey)
 SELECT p_partkey, p_name, coalesce(aliases, '') AS aliases FROM part LEFT JOIN a ON ent = p_partkey""")
 def alias_merge(spark, d):
-    li = t(spark, d, "lineitem").filter("l_returnflag = 'R' and l_linenumber = 1")
+    li = t(spark, d, "lineitem")
     rows = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey")))
     a = li.groupBy("l_partkey").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws("-", x["l_orderkey"], x["l_linenumber"])), ";").alias("aliases"))
     return t(spark, d, "part").join(a, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", "p_name", F.coalesce("aliases", F.lit("")).alias("aliases"))
