@@ -117,6 +117,35 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
 
 
+def test_components_in_one_task_and_by_rounds(spark):
+    """Both ways give what depth-first search gives, and a small graph takes few jobs (its rounds took the driver's memory)."""
+    r = random.Random(3)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(2**62, -5), (-5, 401)] + [(1000 - i, 1001 - i) for i in range(50)] + [(2000, i) for i in range(2001, 2300)]
+    near, want = {}, {}
+    for x, y in edges:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    for start in sorted(near):
+        todo = [start] if start not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = start
+                todo += near[x]
+    df = spark.createDataFrame(edges + [(None, 1), (2, None)], "x long, y long")
+    jobs = {}
+    for most in (0, 10_000):
+        spark.sparkContext.setJobGroup(f"components {most}", "")
+        got = {x["node"]: x["root"] for x in components(df, "x", "y", Scratch(spark), most).collect()}
+        jobs[most] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {most}"))
+        assert got == {k: v for k, v in want.items() if k != v}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert components(df.limit(0), "x", "y", Scratch(spark)).count() == 0
+    strings = spark.createDataFrame([("b", "a"), ("c", "b")], "x string, y string")
+    assert {x["node"]: x["root"] for x in components(strings, "x", "y", Scratch(spark)).collect()} == {"b": "a", "c": "a"}
+    assert jobs[10_000] <= 8 < jobs[0], jobs
+
+
 def lines(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
 
