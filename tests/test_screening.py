@@ -82,6 +82,31 @@ def test_no_posting_of_a_key_surely_left_out_is_joined(spark):
     assert set(kept.values()) == {3000} and len(kept) == 1  # of the two keys that all have one comes first, after the rare ones; the other is cut
 
 
+def test_no_list_is_broadcast(spark):
+    """Lists are far larger taken apart than their files tell: a broadcast of one goes through the driver."""
+    subjects, parties = frames(spark)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    names, queries = S.index(parties), S.subject_queries(subjects)
+    for df in (S.standing(queries, S.keys(names, "entry_id"), cap=2), S.block(queries, names)[0], S.bounded_searches(subjects, parties, cap=2), S.likely_pairs(queries, names)[0], S.likely_pairs(queries, names, 2)[0], S.screen(subjects, parties)):
+        assert "BroadcastHashJoin" not in plan(df)
+
+
+def test_names_that_are_alike_are_compared_once(spark):
+    """Each in its own right in the result and in the cap's counts."""
+    subjects, parties = frames(spark)
+    four = F.explode(F.array(*[F.lit(i) for i in range(4)]))
+    many = parties.withColumn("i", four).withColumn("uid", F.concat_ws("/", "uid", "i")).drop("i")
+    asked = S.subject_queries(subjects.withColumn("i", four).withColumn("subject_id", F.concat_ws("/", "subject_id", "i")))
+    assert S.distinct_forms(asked, "query_id").count() == asked.select("norm").distinct().count() < asked.count()
+    got = S.screen(subjects, many).select("subject_id", F.substring_index("uid", "/", 1).alias("uid"), "band", "score")
+    want = S.screen(subjects, parties).select("subject_id", "uid", "band", "score")
+    assert sorted(map(tuple, got.distinct().collect())) == sorted(map(tuple, want.collect())) and got.count() == 4 * want.count()
+    told = {r["subject_id"]: r["left_out"] for r in S.bounded_searches(subjects, many, cap=4).collect()}
+    kept, cut = S.block(S.subject_queries(subjects), S.index(many), cap=4)
+    by_name = S.told(cut, S.subject_queries(subjects))
+    assert told == {r["subject_id"]: r["left_out"] for r in by_name.collect()} and told
+
+
 def test_what_was_left_out_stands_at_the_candidates(spark):
     subjects, parties = frames(spark)
     wide = parties.withColumn("name", F.concat("name", F.lit(" star")))
