@@ -1,7 +1,7 @@
 """Scans of messy delimited lists: bytes in, typed parties out, with rejects and drift reported.
 
-``binaryFile`` gives whole files; a UDTF decodes (UTF-8 with or without mark, Windows-1252, Latin-1) and splits
-them into records with ordinals, which Spark's CSV source doesn't keep. Everything after that is columns.
+Lines are read as bytes and streamed, file by file, through Python's reader, which decodes (UTF-8 with or without mark,
+Windows-1252, Latin-1) and gives records with ordinals, which Spark's CSV source doesn't keep. Everything after that is columns.
 """
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from __future__ import annotations
 import csv
 import io
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from partylens.operators.rules import clean, party_type, split_multi
+from partylens.storage import cut
 
 #: Columns of the headerless lists, by place.
 SDN = "ent_num name type program title call_sign vess_type tonnage grt vess_flag vess_owner remarks".split()
@@ -30,37 +31,78 @@ PARTY_FIELDS = {
 NAME_LIMIT, ALIAS_LIMIT = 256, 50
 
 
-def decode(content: bytes) -> tuple[str, str]:
-    """Text and the encoding that fitted."""
-    for encoding in ("utf-8-sig", "cp1252"):
-        try:
-            return content.decode(encoding), encoding
-        except UnicodeDecodeError:
-            continue
-    return content.decode("latin-1"), "latin-1"
+#: A file has the first of these encodings that all its bytes fit; Latin-1 fits any.
+ENCODINGS = ("utf-8", "cp1252", "latin-1")
+BOM = b"\xef\xbb\xbf"
+_BATCH = 5_000
+
 
+def parser(delimiter: str):
+    """Records of files, from batches of their lines in order; only a batch and a record are held at a time."""
 
-@udtf(returnType="row_no: int, fields: array<string>, encoding: string")
-class ParseDelimited:
-    """Records of one file: ordinal from 1 (a header is 1 too), fields, encoding."""
+    def run(batches):
+        import pyarrow as pa
 
-    def eval(self, content: bytes, delimiter: str):
-        if content is None:
-            return
-        text, encoding = decode(bytes(content))
         csv.field_size_limit(1 << 27)
-        for i, fields in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), 1):
-            if fields:
-                yield i, fields, encoding
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("file", "kind", "line"))))
+        out: list[tuple] = []
+
+        def flush():
+            columns = zip(*out)
+            made = pa.RecordBatch.from_arrays([pa.array(next(columns), t) for t in (pa.int32(), pa.int32(), pa.list_(pa.string()))], names=["file", "row_no", "fields"])
+            out.clear()
+            return made
+
+        for (file, kind), lines in groupby(rows, lambda r: r[:2]):
+            for i, fields in enumerate(csv.reader(_text((r[2] for r in lines), kind), delimiter=delimiter), 1):
+                if fields:
+                    out.append((file, i, fields))
+                    if len(out) == _BATCH:
+                        yield flush()
+        if out:
+            yield flush()
+
+    return run
+
+
+def _text(lines, kind: int):
+    """Pieces of a file's text that end where the CSV reader expects it: at line feeds, returns and both.
+
+    ``kind`` holds the encoding's place, 4 if the last line lacks its line feed, 8 if the source took a byte order mark off.
+    """
+    encoding = ENCODINGS[kind & 3]
+    line = BOM if kind & 8 and encoding != "utf-8" else b""
+    after = b""
+    for more in lines:
+        if after:
+            yield from io.StringIO((line + after).decode(encoding), newline="")
+            line = b""
+        line, after = line + more, b"\n"
+    yield from io.StringIO((line + (b"" if kind & 4 else b"\n")).decode(encoding), newline="")
 
 
 def records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """(path, row_no, fields, encoding) of every record of every file under ``path``."""
-    spark.udtf.register("parse_delimited", ParseDelimited)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    name = "delimited_files"
-    files.createOrReplaceTempView(name)
-    return spark.sql(f"SELECT path, r.* FROM {name}, LATERAL parse_delimited(content, '{delimiter}') r")
+    """(path, row_no, fields, encoding) of every record of every file under ``path``.
+
+    A file's lines are brought together in order and streamed through one reader, so that neither a file nor its records
+    have to fit in memory.
+    """
+    value, whole = F.col("value"), F.octet_length("value") + 1
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), value)
+    # bytes that Windows-1252 has no character for
+    odd = F.when(F.is_valid_utf8(value), False).otherwise(F.decode(value.cast("binary"), "ISO-8859-1").rlike(r"[\x81\x8d\x8f\x90\x9d]"))
+    facts = lines.groupBy("at").agg(F.sum(whole).alias("bytes"), F.bool_and(F.is_valid_utf8(value)).alias("utf8"), F.bool_or(odd).alias("odd"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("at"), "path", "length")
+    known = files.join(facts, "at").withColumn("file", F.row_number().over(Window.orderBy("path")))
+    extra = F.col("length") - F.col("bytes")
+    kind = F.when(F.col("utf8"), 0).when(~F.col("odd"), 1).otherwise(2) + F.when(extra.isin(-1, 2), 4).otherwise(0) + F.when(extra.isin(2, 3), 8).otherwise(0)
+    known = cut(known.select("at", "path", "file", kind.cast("int").alias("kind")))  # a row a file
+    sent = lines.join(F.broadcast(known), "at").select("file", "kind", "start", "place", value.cast("binary").alias("line"))
+    sent = sent.repartition("file").sortWithinPartitions("file", "start", "place").select("file", "kind", "line")
+    parsed = sent.mapInArrow(parser(delimiter), "file int, row_no int, fields array<string>")
+    told = F.element_at(F.array(*[F.lit(e) for e in ("utf-8-sig", *ENCODINGS[1:])]), F.col("kind").bitwiseAND(3) + 1)
+    # a file is one task up to here; its records go to all cores, and are kept as they are read for their header too
+    return cut(parsed.repartition("file", "row_no").join(F.broadcast(known), "file").select("path", "row_no", "fields", told.alias("encoding")))
 
 
 def headers_of(fields: Column) -> Column:

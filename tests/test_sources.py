@@ -18,6 +18,46 @@ def test_party_file(spark, tmp_path):
     assert [r["header"] for r in D.unmapped(D.records(spark, str(tmp_path)), D.PARTY_FIELDS).collect()] == ["extra"]
 
 
+def test_records_are_streamed_and_the_same_as_of_whole_files(spark, tmp_path):
+    """Against the reader on whole files: marks, encodings, returns, quotes over lines, open quotes, blank lines; small splits."""
+    import csv
+    import io
+
+    bodies = ['a,b\n1,"x\ny"\r\n\n3,z\r4,"q""\r\n,"\n', 'é,b\n"ü\n\n",1', 'h\nv,"open\nto the end', 'h\nv,"open\nto the end\n', "n,m\n" + '17,"long, ""one""\nmore"\n' * 400]
+    whole = {}
+    for k, body in enumerate(bodies):
+        for name, data in {"u": body.encode(), "m": b"\xef\xbb\xbf" + body.encode(), "w": body.encode("cp1252") + b"\n\x80", "l": b"\xef\xbb\xbf" + body.encode("latin-1") + b"\xe9\x81"}.items():
+            (tmp_path / f"{name} {k}.csv").write_bytes(data)
+            for encoding in ("utf-8-sig", "cp1252", "latin-1"):
+                try:
+                    text = data.decode(encoding)
+                    break
+                except UnicodeDecodeError:
+                    continue
+            whole[f"{name} {k}.csv"] = [(i, f, encoding) for i, f in enumerate(csv.reader(io.StringIO(text, newline="")), 1) if f]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    got = {}
+    for r in D.records(spark, str(tmp_path)).collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["row_no"], r["fields"], r["encoding"]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {k: sorted(v) for k, v in got.items()} == whole
+    # only as much of the lines is taken as the records given need
+    import pyarrow as pa
+
+    taken = []
+
+    def batches():
+        for k in range(20):
+            taken.append(k)
+            yield pa.RecordBatch.from_pydict({"file": pa.array([1] * 1000, pa.int32()), "kind": pa.array([0] * 1000, pa.int32()), "line": pa.array([b"x,y"] * 1000, pa.binary())})
+
+    run = D.parser(",")(batches())
+    assert next(run).num_rows == 5000 and len(taken) < 8 and 5000 + sum(b.num_rows for b in run) == 20_000
+
+
 def test_positional_lists(spark, tmp_path):
     for name, text in {
         "sdn": '1,"ALPHA, Bo",individual,"X] [Y",' + "-0- ," * 7 + 'note\n2,BETA,-0- ,Z,' + "-0-," * 3 + '"12,300",' + ",".join(["-0-"] * 4) + "\nshort,row\n",
